@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phasegrid.llm import mixing, sharding, topk_search, url_filter
+from phasegrid.llm import mixing, packing, quality_rules, sharding, topk_search, url_filter
 
-_MODULES = (mixing, sharding, topk_search, url_filter)
+_MODULES = (mixing, packing, quality_rules, sharding, topk_search, url_filter)
 
 
 def queries() -> dict:
