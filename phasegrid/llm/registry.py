@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phasegrid.llm import mixing, packing, quality_rules, sharding, topk_search, url_filter, warc
+from phasegrid.llm import mixing, ngram_join, packing, quality_rules, sharding, topk_search, url_filter, warc
 
-_MODULES = (mixing, packing, quality_rules, sharding, topk_search, url_filter, warc)
+_MODULES = (mixing, ngram_join, packing, quality_rules, sharding, topk_search, url_filter, warc)
 
 
 def queries() -> dict:
