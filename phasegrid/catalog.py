@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from phasegrid.plans import audits, crosssection, inference, panels, splits
 
-def queries():
-    return {}
 
+_MODULES = (panels, crosssection, splits, inference, audits)
 
-def oracle_sql():
-    return {}
+
+def flagship(spark, sf_dir: str):
+    """Daily mean robust upper-tail response by mode and horizon, on the one key that is dense in small data."""
+    return crosssection.tail_daily_mean(spark, sf_dir, key="p_type")
+
+
+def queries() -> dict:
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in _MODULES for k, s in m.ORACLES.items()}
