@@ -33,7 +33,7 @@ def _sector(s, d):
 
 def _quantile_curve(s, d):
     """Training rows set the edges of 30 bins; later ones fill them."""
-    p = panel(s, d)
+    p = panel(s, d).persist()
     keys = ("return_mode", "horizon")
     edges = xs.bin_edges(p.filter(F.col("date") < "1999-01-01"), "psi_primary", 30, keys)
     test = xs.with_bin(p.filter(F.col("date") >= "1999-01-01"), edges, "psi_primary", keys)
@@ -42,14 +42,14 @@ def _quantile_curve(s, d):
 
 def _pivot(s, d):
     """Share of momentum by psi bin (20, over all horizons) and horizon."""
-    p = panel(s, d)
+    p = panel(s, d).persist()
     edges = xs.bin_edges(p, "psi_primary", 20, ("return_mode",))
     out = xs.with_bin(p, edges, "psi_primary", ("return_mode",)).groupBy("return_mode", "bin").pivot("horizon", list(SMALL.horizons)).agg(F.avg("phase_label"))
     return rounded(out.toDF("return_mode", "bin", *(f"h{h}" for h in SMALL.horizons)))
 
 
 def _distance(s, d):
-    c = xs.with_percentile(panel(s, d))
+    c = xs.with_percentile(panel(s, d)).persist()
     half = lambda when: xs.equal_width_curve(c.filter(when))
     return rounded(xs.curve_distance(half(F.col("date") < "1999-01-01"), half(F.col("date") >= "1999-01-01"), ["return_mode", "horizon", "bin"]))
 
@@ -84,7 +84,7 @@ def _bands(s, d):
 
 def _single_phase(s, d):
     """Five bands of equal psi shares of the training days, filled by later ones: estimate and whether each has one sign."""
-    p, keys = panel(s, d), ("return_mode", "horizon")
+    p, keys = panel(s, d).persist(), ("return_mode", "horizon")
     edges = xs.bin_edges(p.filter(F.col("date") < "1999-01-01"), "psi_primary", 5, keys)
     test = xs.with_bin(p.filter(F.col("date") >= "1999-01-01"), edges, "psi_primary", keys)
     e = xs.equal_date_mean(test, "phase_product", (*keys, "bin"))
