@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import tempfile
@@ -63,6 +64,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession):
+    """Within it, joins of a large table with a filtered small one get Spark's runtime Bloom filter even if the large one isn't huge: rows without a partner go before they are shuffled."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key, "10GB")
+    spark.conf.set(key, "1MB")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def words(text: Column) -> Column:
     """The words of a text, as array<string>; null text: empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")

@@ -9,22 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import drop_stored, release, stored, table
+from phasegrid.llm.common import bloom_joins, drop_stored, release, stored, table
 from phasegrid.llm.text_hash import mix, shingle_sets
 
 #: Words of an n-gram; percent of the union that two linked sets share at least.
 WIDTH, PERCENT = 5, 75
 #: n-grams of at least so many documents come last in the global order (more, if they would exceed MAX_COMMON).
-COMMON = 64
+COMMON = 12
 MAX_COMMON = 1 << 22
 #: The order is cut into so many fragments for partial overlaps.
-FRAGMENTS = 8
+FRAGMENTS = 2
 #: Posting lists of at most so many sets compare all pairs at once; longer ones go by pivots first.
 SHORT = 32
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 4
+#: Long lists end in all pairs across components once these are at most so many times their rows.
+PAIRS_A_ROW = 1024
 _U = np.uint64
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Hashes as signed integers in the same order."""
+    return (x ^ _U(1 << 63)).view(np.int64)
+
+
 def _flush(held: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """Per fragment (top bits of the hash) the sorted next 32 bits, as differences: a few bytes an n-gram once compressed."""
     x = np.sort(np.concatenate(held))
@@ -45,10 +52,10 @@ def _flush(held: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
 
 
 def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[int, np.ndarray]:
-    """Bits and sorted prefixes (that many bits of the hash) of n-grams that at least `least` documents hold.
+    """Bits and sorted prefixes (bits + 32 bits of the hash) of n-grams that at least a bound of documents hold.
 
-    All documents count. Each fragment of the order is counted on its own. If there are more than `most`, the bound is doubled
-    until there are not, so the driver and the broadcast hold at most `most` numbers.
+    All documents count. Each fragment of the order is counted on its own. The bound is `least`, or, if there are more than `most`
+    such n-grams, the power of 2 from which there are not: the driver and the broadcast hold at most `most` numbers.
     """
     spark = docs.sparkSession
     bits = min(17, max(6, int(np.ceil(np.log2(2 * docs.rdd.getNumPartitions())))))
@@ -59,7 +66,7 @@ def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[i
             for x in shingle_sets(b.column(0), width):
                 held.append(x)
                 n += len(x)
-                if n >= 1 << 23:
+                if n >= 1 << 21:
                     yield from _flush(held, bits)
                     held, n = [], 0
         if n:
@@ -80,23 +87,22 @@ def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[i
 
     found = stored(docs.select("text").mapInArrow(grams, "fragment int, n long, blob binary").groupBy("fragment").applyInArrow(count, "key long, k long"), "common-ngrams")
     by_size = sorted(found.groupBy(F.floor(F.log2("k")).cast("int").alias("p")).count().collect(), reverse=True)
-    n, p = 0, 64
-    for power, k in by_size:
-        if n + k > most:
-            break
-        n, p = n + k, power
-    keys = np.sort(np.array([r[0] for r in found.filter(F.col("k") >= (1 << p if p < 63 else (1 << 62))).select("key").collect()], np.int64))
+    bound, n = least, sum(k for _, k in by_size)
+    while n > most:
+        p, k = by_size.pop()
+        bound, n = 2 << p, n - k
+    keys = np.sort(np.array([r[0] for r in found.filter(F.col("k") >= bound).select("key").collect()], np.int64))
     drop_stored(found)
     release(spark)
     return bits, keys
 
 
 def ngram_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
-    """(doc_id, th, n_shingles, set_id, prefix) of each row, stored.
+    """(doc_id, th, n_shingles, set_id, rare, prefix, row) of each row, stored.
 
     th: hash of the text. set_id: hash of the whole n-gram set (null if empty); rows of one set_id hold equal sets. prefix: in
     the global order (rare n-grams by hash, then common ones), the first n - ceil(percent% of n) + 1: two linked
-    sets share one of them.
+    sets share one of them. rare: how many n-grams of the set are rare.
     """
     spark = docs.sparkSession
     bits, keys = common_ngrams(docs, width, common, MAX_COMMON)
@@ -107,46 +113,80 @@ def ngram_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, comm
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                sizes, ids, prefixes = [], [], []
+                sizes, ids, rare, prefixes = [], [], [], []
                 for x in shingle_sets(part.column(2), width):
                     n = len(x)
                     sizes.append(n)
                     if not n:
                         ids.append(None)
+                        rare.append(0)
                         prefixes.append(np.empty(0, np.int64))
                         continue
                     ids.append(int(mix(np.array([mix(x).sum() + _U(n)], np.uint64)).view(np.int64)[0]))
+                    most, few = n - -(-percent * n // 100) + 1, n
                     if len(hot):
                         key = (x >> _U(32 - bits)).astype(np.int64)
                         is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
                         if is_hot.any():
-                            x = np.concatenate([x[~is_hot], x[is_hot]])
-                    prefixes.append(x[: n - -(-percent * n // 100) + 1].view(np.int64))
+                            x, few = np.concatenate([x[~is_hot], x[is_hot]]), n - int(is_hot.sum())
+                    rare.append(few)
+                    prefixes.append(_signed(x[:most]))
                 at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "th", "n_shingles", "set_id", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "th", "n_shingles", "set_id", "rare", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, n_shingles long, set_id long, prefix array<long>")
-    return stored(rows, "ngram-sets")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, n_shingles long, set_id long, rare int, prefix array<long>")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
 
 
-def _long_enough(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def _can_link(p: str, q: str, percent: int):
+    """Whether this may be the first n-gram that two linked sets share: from its places on, both sets have enough left for the overlap that their sizes ask for."""
+    left = F.least(F.col(f"{p}n") - F.col(f"{p}pos"), F.col(f"{q}n") - F.col(f"{q}pos"))
+    return left * (100 + percent) >= percent * (F.col(f"{p}n") + F.col(f"{q}n"))
 
 
-def _can_link(p: str, q: str, percent: int):
-    """Sizes, and places of the shared n-gram in both orders, allow a link: what comes before and after bounds the overlap."""
-    na, nb, i, j = F.col(f"{p}n"), F.col(f"{q}n"), F.col(f"{p}pos"), F.col(f"{q}pos")
-    most = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
-    return _long_enough(f"{p}n", f"{q}n", percent) & (most * (100 + percent) >= percent * (na + nb))
+def _sets_of(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.col("a").alias("set_id"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct(), "ngram-ids")
+
 
+def _still_possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, an, b, bn) those that the first fragment of the order, the rare prefixes, does not rule out; stored.
 
-def _fragments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, fragment, grams): n-grams of the wanted sets, cut by the top bits of the order; read again from one text of each set."""
-    first = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    first = stored(first.select("set_id", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th")), "ngram-first")
+    Up to the lesser of both prefixes' ends all shared n-grams are seen; beyond it at most as many as either set has left.
+    """
+    ids = _sets_of(pairs)
+    with bloom_joins(pairs.sparkSession):
+        own = stored(firsts.join(ids.filter("n > 0"), "set_id", "left_semi").select("set_id", "prefix", "rare"), "ngram-own")
+    both = pairs.join(own.select(F.col("set_id").alias("a"), F.col("prefix").alias("x"), F.col("rare").alias("xr")), "a").join(own.select(F.col("set_id").alias("b"), F.col("prefix").alias("y"), F.col("rare").alias("yr")), "b")
+
+    @F.arrow_udf("int")
+    def bound(x: pa.Array, xr: pa.Array, y: pa.Array, yr: pa.Array, an: pa.Array, bn: pa.Array) -> pa.Array:
+        lists = []
+        for v, r in ((x, xr), (y, yr)):
+            at, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+            lists.append((at[:-1], at[1:], flat, r.to_numpy(zero_copy_only=False)))
+        an, bn, out = an.to_numpy(zero_copy_only=False), bn.to_numpy(zero_copy_only=False), np.empty(len(x), np.int32)
+        (x0, x1, xs, xr), (y0, y1, ys, yr) = lists
+        for i in range(len(out)):
+            p, q = xs[x0[i] : min(x0[i] + xr[i], x1[i])], ys[y0[i] : min(y0[i] + yr[i], y1[i])]
+            ends = [v[-1] for v, own in ((p, xr[i]), (q, yr[i])) if len(v) < own]
+            if ends:
+                p, q = (v[: np.searchsorted(v, min(ends), "right")] for v in (p, q))
+            shared = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p) if len(p) and len(q) else 0
+            out[i] = shared + min(an[i] - len(p), bn[i] - len(q))
+        return pa.array(out)
+
+    kept = both.withColumn("most", bound("x", "xr", "y", "yr", "an", "bn")).filter(F.col("most") * (100 + percent) >= percent * (F.col("an") + F.col("bn")))
+    return stored(kept.select("a", "an", "b", "bn"), "ngram-possible")
+
+
+def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(set_id, fragment, grams) of the sets in pairs: their n-grams, cut by the top bits of the order; read again from one text of each set; stored."""
+    ids = _sets_of(pairs)
+    first = rows.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("n_shingles").alias("_n"))
+    first = stored(first.select("set_id", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"), "_n"), "ngram-first")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    own = own.join(first, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
+    own = own.join(first.filter("_n > 0"), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
     shift = _U(64 - FRAGMENTS.bit_length() + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,25 +195,42 @@ def _fragments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int)
                 part = b.slice(lo, 256)
                 ids, frag, size, flat = [], [], [], []
                 for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
-                    k, n = np.unique((x >> shift).astype(np.int32), return_counts=True)
+                    n = np.bincount((x >> shift).astype(np.int64), minlength=FRAGMENTS)
+                    k = np.flatnonzero((n > 0) | (np.arange(FRAGMENTS) == 0)).astype(np.int32)  # the first fragment always, be it empty
+                    n = n[k]
                     ids.append(np.full(len(k), i))
                     frag.append(k)
                     size.append(n)
-                    flat.append(x.view(np.int64))
+                    flat.append(_signed(x))
                 at = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(frag), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat)))], ["set_id", "fragment", "grams"])
 
     cuts = own.mapInArrow(cut, "set_id long, fragment int, grams array<long>")
-    return stored(cuts, "ngram-fragments")
+    with bloom_joins(docs.sparkSession):  # few of the texts are wanted
+        return stored(cuts, "ngram-fragments")
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, an, b, bn) those that link: partial overlaps per fragment, summed per pair."""
-    left = fragments.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = fragments.select(F.col("set_id").alias("b"), F.col("fragment").alias("_f"), F.col("grams").alias("y"))
-    both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("fragment") == F.col("_f"))).select("a", "an", pairs["b"], "bn", F.size(F.array_intersect("x", "y")).alias("part"))
-    total = both.groupBy("a", "an", "b", "bn").agg(F.sum("part").alias("overlap"))
-    return total.filter(F.col("overlap") * (100 + percent) >= percent * (F.col("an") + F.col("bn"))).select("a", "b", "overlap")
+    """Of the pairs (a, an, b, bn) those that link: partial overlaps per fragment, summed per pair.
+
+    The first fragment is counted alone; pairs that it rules out (what it shows as shared, and all that either set holds elsewhere, is too
+    little) don't meet in the others.
+    """
+    pair = ["a", "an", "b", "bn"]
+    enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
+
+    def parts(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+        left = fragments.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("x"))
+        right = fragments.select(F.col("set_id").alias("_b"), F.col("fragment").alias("_f"), F.col("grams").alias("y"))
+        both = pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & (F.col("fragment") == F.col("_f")))
+        out = both.select(*pair, "fragment", F.size(F.array_intersect("x", "y")).alias("part"), F.size("x").alias("nx"), F.size("y").alias("ny"))
+        return out.groupBy(*pair, "fragment").agg(F.max("part").alias("part"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))  # rows repeated with id and text give a set's fragments twice
+
+    first = parts(pairs, fragments.filter("fragment = 0"))
+    first = stored(first.filter(enough(F.col("part") + F.least(F.col("an") - F.col("nx"), F.col("bn") - F.col("ny")))).select(*pair, "fragment", "part"), "ngram-part")
+    rest = parts(first.select(*pair), fragments.filter("fragment > 0")).select(*pair, "fragment", "part")
+    total = first.union(rest).groupBy(*pair).agg(F.sum("part").alias("overlap"))
+    return total.filter(enough(F.col("overlap"))).select("a", "b", "overlap")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,8 +260,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     1. A sketch of the whole corpus finds common n-grams; they go last in the global n-gram order, so a passage that
        many documents share makes none of them candidates. 2. Prefixes in that order give posting lists; lists with one set
-       go. 3. Pairs of short lists, and of long ones each set with a pivot, get partial overlaps in each fragment of the order,
-       summed per pair. 4. Long lists whose sets are still in several components take new pivots, at last all pairs across components:
+       go. 3. Pairs of short lists, and of long ones each set with a pivot, are bounded by the prefixes; the rest get partial overlaps in
+       each fragment of the order, summed per pair. 4. Long lists whose sets are still in several components take new pivots, at last all pairs across components:
        exact, while a large group of near copies costs a few pairs a copy. Sets of n-grams are compared as 64-bit hashes.
 
     Null and empty texts have no n-grams; repeated rows share a set; null doc_ids are kept; an empty table gives no rows.
@@ -212,68 +269,72 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = ngram_sets(docs, width, percent, common)
-    rows = sets.drop("prefix")
-    one = sets.filter(F.col("set_id").isNotNull())
-    # one row of each set; copies vanish before the shuffle's reduce side
-    first = one.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "th")).alias("r")).select(F.col("set_id").alias("_s"), F.col("r.col1").alias("_i"), F.col("r.th").alias("_t"))
-    firsts = one.join(first, (F.col("set_id") == F.col("_s")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_i")) & (F.col("th") == F.col("_t")))
-    grams = firsts.select("set_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    rows = sets.drop("prefix", "rare")
+    # one row of each set
+    least = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("row").alias("row")).select("row")
+    firsts = stored(sets.join(least, "row").select("set_id", F.col("n_shingles").cast("int").alias("n"), (F.col("n_shingles") - F.col("rare")).cast("int").alias("c"), "rare", "prefix"), "ngram-firsts")
+    grams = firsts.select("set_id", "n", "c", F.posexplode("prefix").alias("pos", "gram"))
     listed = grams.withColumn("k", F.count("*").over(Window.partitionBy("gram"))).filter("k > 1")
-    posts = stored(listed.dropDuplicates(["gram", "set_id"]), "ngram-posts")
+    posts = stored(listed, "ngram-posts")
+    rows = stored(rows.drop("row"), "ngram-rows")
     release(spark)
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select("gram", *(F.col(c).alias(p + c) for c in ("set_id", "n", "pos")))
+    def side(df: DataFrame, p: str, *more: str) -> DataFrame:
+        return df.select("gram", *(F.col(c).alias(p + c) for c in ("set_id", "n", "c", "pos", *more)))
 
     def as_pairs(df: DataFrame) -> DataFrame:
-        swap = F.col("pset_id") < F.col("qset_id")
-        a, b = F.struct(F.col("pset_id"), F.col("pn")), F.struct(F.col("qset_id").alias("pset_id"), F.col("qn").alias("pn"))
-        out = df.select(F.when(swap, a).otherwise(b).alias("x"), F.when(swap, b).otherwise(a).alias("y"))
-        return out.select(F.col("x.pset_id").alias("a"), F.col("x.pn").alias("an"), F.col("y.pset_id").alias("b"), F.col("y.pn").alias("bn")).distinct()
-
-    few, many = posts.filter(F.col("k") <= SHORT), posts.filter(F.col("k") > SHORT)
-    close = side(few, "p").join(side(few, "q"), "gram").filter((F.col("pset_id") < F.col("qset_id")) & _can_link("p", "q", percent))
+        less = F.col("pset_id") < F.col("qset_id")
+        first = lambda c: F.when(less, F.col("p" + c)).otherwise(F.col("q" + c))
+        second = lambda c: F.when(less, F.col("q" + c)).otherwise(F.col("p" + c))
+        return df.select(first("set_id").alias("a"), first("n").alias("an"), second("set_id").alias("b"), second("n").alias("bn")).distinct()
 
     def pivoted(posts: DataFrame, turn: int) -> DataFrame:
-        """Each set of a list beside the list's pivot: the set that comes first by a hash of its id and the turn, the same for every list that holds it."""
-        pick = posts.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "set_id").alias("o"), "set_id", "n", "pos")).alias("m"))
-        pick = pick.select(F.concat(F.col("gram").cast("string"), F.lit("")).alias("_g"), F.col("m.set_id").alias("qset_id"), F.col("m.n").alias("qn"), F.col("m.pos").alias("qpos"))
+        """Each set of a list beside the list's pivot: the set with the largest share of common n-grams, which lies nearest to the others, at first; then by a hash of set and turn."""
+        order = F.struct(F.col("c") / F.col("n") if turn == 0 else F.lit(0.0), F.xxhash64(F.lit(turn), "set_id").alias("o"), "set_id", "n", "c", "pos")
+        pick = posts.groupBy("gram").agg(F.max(order).alias("m"))
+        # the key is wrapped, so that both sides are dealt out for the join alone and a long list can be split
+        pick = pick.select(F.concat(F.col("gram").cast("string"), F.lit("")).alias("_g"), *(F.col(f"m.{x}").alias(f"q{x}") for x in ("set_id", "n", "c", "pos")))
         return side(posts, "p").join(pick, F.col("gram").cast("string") == F.col("_g")).filter((F.col("pset_id") != F.col("qset_id")) & _can_link("p", "q", percent))
 
-    pairs = stored(as_pairs(close).union(as_pairs(pivoted(many, 0))).distinct(), "ngram-pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).union(many.select("set_id")).distinct()
-    fragments = _fragments(docs, sets, wanted, width)
-    release(spark)
-    links = stored(_links(pairs, fragments, percent), "ngram-links")
-    root = components(links)
-    done, found = [pairs], [links]
-    for turn in range(1, PIVOT_ROUNDS + 2):
+    few, many = posts.filter(F.col("k") <= SHORT), posts.filter(F.col("k") > SHORT)
+    close = side(few, "p").join(side(few, "q"), "gram").filter((F.col("pset_id") < F.col("qset_id")) & _can_link("p", "q", percent))
+    tried = [stored(as_pairs(close).union(as_pairs(pivoted(many, 0))).distinct(), "ngram-pairs")]
+    # a row of each set in long lists, with its places in them
+    held = stored(many.groupBy("set_id", "n", "c").agg(F.collect_list(F.struct("gram", "pos")).alias("l")), "ngram-long")
+    links, turn, last = None, 0, False
+    while True:
+        turn += 1
+        possible = _still_possible(tried[-1], firsts, percent)
+        release(spark)
+        more = stored(_links(possible, _fragments(docs, rows, possible, width), percent), "ngram-links")
+        release(spark)
+        links = more if links is None else links.union(more)
+        if turn == 1 or more.limit(1).count():
+            root = components(links)
+        if last:
+            break
         # lists whose sets are in several components; within a component nothing is left to find
-        now = many.join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        open_lists = now.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
-        now = stored(now.join(open_lists, "gram", "left_semi"), "ngram-open")
-        if not now.limit(1).count():
+        now = held.join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        now = now.select("set_id", "n", "c", "root", F.explode("l").alias("e")).select("set_id", "n", "c", "root", "e.gram", "e.pos")
+        parts = now.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("m"), ((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)) / 2).alias("across"))
+        parts = stored(parts.filter("across > 0"), "ngram-open")
+        size, across = parts.agg(F.sum("m"), F.sum("across")).first()
+        if not size:
             break
-        if turn <= PIVOT_ROUNDS:
+        now = stored(now.join(parts.select("gram"), "gram", "left_semi"), "ngram-now")
+        if turn <= PIVOT_ROUNDS and across > PAIRS_A_ROW * size:
             new = pivoted(now, turn)
         else:
-            p = side(now, "p").join(now.select("gram", F.col("set_id").alias("pset_id"), F.col("root").alias("proot")), ["gram", "pset_id"])
-            q = side(now, "q").join(now.select("gram", F.col("set_id").alias("qset_id"), F.col("root").alias("qroot")), ["gram", "qset_id"])
-            new = p.join(q, "gram").filter((F.col("proot") < F.col("qroot")) & _can_link("p", "q", percent))
-        fresh = as_pairs(new)
-        for old in done:
+            new = side(now, "p", "root").join(side(now, "q", "root"), "gram").filter((F.col("proot") < F.col("qroot")) & _can_link("p", "q", percent))
+            last = True
+        fresh = stored(as_pairs(new), "ngram-new")
+        for old in tried:
             fresh = fresh.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stored(fresh, "ngram-pairs")
-        more = stored(_links(fresh, fragments, percent), "ngram-links")
-        done.append(fresh)
-        found.append(more)
-        links = links.union(more)
-        if more.limit(1).count():
-            root = components(links)
+        tried.append(stored(fresh, "ngram-pairs"))
     # the key is wrapped, so that both sides are dealt out for the join alone and a hot set can be split
     out = rows.join(root.select(F.concat(F.col("node").cast("string"), F.lit("")).alias("_n"), "root"), F.col("set_id").cast("string") == F.col("_n"), "left")
     out = out.withColumn("component", F.coalesce("root", "set_id")).drop("_n", "root")
-    drop_stored(fragments, posts, *done)
+    drop_stored(sets, firsts, posts, *tried)
     return out, links
 
 
