@@ -76,6 +76,12 @@ def bloom_joins(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: Arrow batches of few rows and bytes keep executors' Python small. A setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def words(text: Column) -> Column:
     """The words of a text, as array<string>; null text: empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")

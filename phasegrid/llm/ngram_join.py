@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import bloom_joins, drop_stored, release, stored, table
+from phasegrid.llm import worker_memory
+from phasegrid.llm.common import bloom_joins, drop_stored, release, small_batches, stored, table
 from phasegrid.llm.text_hash import mix, shingle_sets
 
 #: Words of an n-gram; percent of the union that two linked sets share at least.
@@ -58,9 +59,10 @@ def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[i
     such n-grams, the power of 2 from which there are not: the driver and the broadcast hold at most `most` numbers.
     """
     spark = docs.sparkSession
-    bits = min(17, max(6, int(np.ceil(np.log2(2 * docs.rdd.getNumPartitions())))))
+    bits = min(17, max(6, int(np.ceil(np.log2(2 * max(1, docs.rdd.getNumPartitions()))))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.start("ngrams")
         held, n = [], 0
         for b in batches:
             for x in shingle_sets(b.column(0), width):
@@ -267,6 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Null and empty texts have no n-grams; repeated rows share a set; null doc_ids are kept; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     sets = ngram_sets(docs, width, percent, common)
     rows = sets.drop("prefix", "rare")

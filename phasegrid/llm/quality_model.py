@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import table
+from phasegrid.llm import worker_memory
+from phasegrid.llm.common import small_batches, table
 from phasegrid.llm.text_hash import mix, text_chunks, word_hashes
 
 #: Overlapping labellers; each votes good (1), bad (0) or abstains (2).
@@ -82,6 +83,7 @@ def vote_pattern(text: Column) -> Column:
 
     @F.arrow_udf("int")
     def votes(texts: pa.Array) -> pa.Array:
+        worker_memory.start("quality")
         out = [_votes(d, at) for _, d, at in text_chunks(texts)]
         return pa.array(np.concatenate(out) if out else np.empty(0), pa.int32())
 
@@ -191,6 +193,7 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
     rows are judged alike; an empty table gives no rows.
     """
     columns = [c for c in docs.columns if c not in ("weak_votes", "weak_posterior", "quality_score", "quality_kept")]
+    small_batches(docs.sparkSession)
     base = docs.select(*columns)
     counts = {int(p): int(n) for p, n in base.select(vote_pattern(F.col("text")).alias("p")).groupBy("p").count().collect()}
     if not counts:
