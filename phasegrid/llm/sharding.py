@@ -57,13 +57,13 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Rows are ordered by a hash of the text; the driver sees the sizes of CELLS hash ranges, finds the smallest
     shard capacity and cuts between ranges, so equal texts stay together and no shard exceeds the minimax. slot
     counts rows of a shard without gaps; ranges with many rows are cut into slices for that, so a hot text burdens no
-    task. Null texts are one group of size 1 a row (crc32 0); repeated rows each get a slot; clashing or extra
+    task. Null and empty texts are one group of size 1 a row (crc32 0); repeated rows each get a slot; clashing or extra
     columns of docs are ignored; an empty table gives no rows.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64("text"), 48).cast("int").alias("cell"), F.xxhash64("text").alias("th"),
+        F.shiftrightunsigned(F.xxhash64(text), 48).cast("int").alias("cell"), F.xxhash64(text).alias("th"),
     )
     rows = stored(rows, "shard-rows")
     sizes, count = [0] * CELLS, [0] * CELLS

@@ -102,7 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     empty = "query_id long, rank int, vec_id long, score long"
     if bound is None:
         return spark.createDataFrame([], empty)
-    low, width = -int(bound) - 1, max(1, -(-(2 * int(bound) + 3) // BINS))
+    bound = min(int(bound), 1 << 62)
+    low, width = -bound - 1, -(-(2 * bound + 3) // BINS)
 
     def histogram(width: int, step: int):
         def count(batches):

@@ -75,7 +75,7 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             for r in batch.to_pylist():
                 if out is None:
-                    out = fs.open_output_stream(f"{base}/{name}", buffer_size=BUFFER)
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=BUFFER)
                     out.write(self.member(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
                 out.write(self.member(to_record(r)))
         if out is None:
@@ -128,7 +128,7 @@ class _Input:
     def __init__(self, fs: pafs.FileSystem, path: str) -> None:
         self.raw = fs.open_input_file(path)
         self.seeks = not path.endswith(".gz")
-        self.file = io.BufferedReader(pa.PythonFile(self.raw, "r"), BUFFER) if self.seeks else gzip.GzipFile(fileobj=pa.PythonFile(self.raw, "r"))
+        self.file = io.BufferedReader(self.raw, BUFFER) if self.seeks else gzip.GzipFile(fileobj=self.raw)
 
     def skip(self, n: int) -> None:
         if self.seeks:
