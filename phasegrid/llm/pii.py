@@ -22,11 +22,10 @@ _SPACE = r"\x20\x09-\x0D"
 #: Words that may be identifiers: those with a digit or an at sign.
 _TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 _SPAN = "array<struct<start:int,rank:int,end:int,word:string>>"
-_CONTEXT = "array<struct<pattern:string,word:string,start:int,end:int,seed:boolean>>"
+_CONTEXT = "array<struct<patterns:array<bigint>,word:string,start:int,end:int,seed:boolean>>"
 
-#: A pattern is trusted from so many distinct known identifiers and such a share of known ones among its words; words of fewer digits are never identifiers.
+#: A pattern is trusted from so many distinct known identifiers and such a share of known ones among its words; candidates of fewer digits are never identifiers.
 SUPPORT, SHARE, DIGITS = 5, 0.8, 6
-ROUNDS = 3
 
 
 def located(text: Column, pattern: str, rank: int) -> Column:
@@ -69,23 +68,58 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: inside a lambda function an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contexts(text: Column, base: Column) -> Column:
-    """Words with a digit or at sign, each with its lexical pattern (the word before, lower-cased, and the word's shape) and whether it lies in a span of base.
+    """Candidates, each with hashes of its three lexical patterns and whether it lies in a span of base.
 
-    Words right after another such word, or first in the text, have the pattern of that neighbour's shape or of the text's start.
+    A candidate is a run of adjacent words with a digit: words of one base span belong together; others do if only white space
+    of one line is between them and no comma or semicolon ends the first. A word with an at sign is alone, as is what borders on a base span.
+    Patterns are the candidate's class (with an at sign or not) with the word before, the word after, and both, lower-cased. Where no
+    word is between, the neighbouring candidate's class stands for it, or the text's start or end.
     """
     t = F.coalesce(text, F.lit(""))
-    tokens = located(t, _TOKEN, 0)
-    gaps = F.split(t, _TOKEN, -1)
-    shape = lambda w: F.regexp_replace(F.regexp_replace(w, "[0-9]+", "9"), "[A-Za-z]+", "a")
-
-    def one(s: Column, i: Column) -> Column:
-        before = F.lower(F.regexp_extract(F.get(gaps, i), rf"([^{_SPACE}]++)[{_SPACE}]++$", 1))
-        seed = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return F.struct(F.concat(before, F.lit(" "), shape(s["word"])).alias("pattern"), s["word"].alias("word"), s["start"].alias("start"), s["end"].alias("end"), seed.alias("seed"))
-
-    many = lambda s: s["seed"] | (F.length(F.regexp_replace(s["word"], "[^0-9]", "")) >= DIGITS)
-    own = F.filter(F.transform(tokens, one), lambda c: ~F.startswith(c["pattern"], F.lit(" ")) & many(c))
+    word = lambda s, i: F.get(s["t"], i)["word"]
+    kind = lambda w: F.when(F.contains(w, F.lit("@")), "\t@").otherwise("\t9")
+
+    def covered(s: Column) -> Column:
+        # 0: in no span, else the place of the first span that it overlaps
+        cover = F.transform(s["t"], lambda x: F.array_position(F.transform(s["b"], lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), True))
+        return _bound(F.struct(s["t"].alias("t"), s["g"].alias("g"), cover.alias("c")), cut)
+
+    def cut(s: Column) -> Column:
+        def joined(i: Column) -> Column:
+            same = F.get(s["c"], i) == F.get(s["c"], i - 1)
+            near = F.get(s["g"], i).rlike(r"^[\x20\t]*+$") & ~word(s, i - 1).rlike("[,;]$") & ~F.contains(word(s, i - 1), F.lit("@")) & ~F.contains(word(s, i), F.lit("@"))
+            return same & ((F.get(s["c"], i) > 0) | near)
+
+        first = F.filter(F.sequence(F.lit(0), F.size(s["t"]) - 1), lambda i: (i == 0) | ~joined(i))
+        return _bound(F.struct(s["t"].alias("t"), s["g"].alias("g"), s["c"].alias("c"), first.alias("f")), described)
+
+    def described(s: Column) -> Column:
+        def one(a: Column, j: Column) -> Column:
+            b = F.coalesce(F.get(s["f"], j + 1), F.size(s["t"])) - 1
+            rest = F.when(a < b, F.array_join(F.transform(F.sequence(a + 1, F.greatest(a + 1, b)), lambda i: F.concat(F.get(s["g"], i), word(s, i))), "")).otherwise("")
+            whole = F.concat(word(s, a), rest)
+            before = F.lower(F.regexp_extract(F.get(s["g"], a), rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]++$", 1))
+            before = F.when(before != "", before).when(a == 0, "\t^").otherwise(kind(word(s, a - 1)))
+            after = F.lower(F.regexp_extract(F.get(s["g"], b + 1), rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1))
+            after = F.when(after != "", after).when(b + 1 == F.size(s["t"]), "\t$").otherwise(kind(word(s, b + 1)))
+            return F.struct(kind(whole).alias("k"), before.alias("l"), after.alias("r"), whole.alias("word"), F.get(s["t"], a)["start"].alias("start"), F.get(s["t"], b)["end"].alias("end"), (F.get(s["c"], a) > 0).alias("seed"))
+
+        many = lambda x: x["seed"] | (F.length(F.regexp_replace(x["word"], "[^0-9]", "")) >= DIGITS)
+        any_word = F.lit("\t*")
+
+        def hashed(x: Column) -> Column:
+            patterns = F.array(F.xxhash64(x["k"], x["l"], any_word), F.xxhash64(x["k"], any_word, x["r"]), F.xxhash64(x["k"], x["l"], x["r"]))
+            return F.struct(patterns.alias("patterns"), x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"))
+
+        return F.transform(F.filter(F.transform(s["f"], one), many), hashed)
+
+    own = _bound(F.struct(located(t, _TOKEN, 0).alias("t"), F.split(t, _TOKEN, -1).alias("g"), base.alias("b")), covered)
     return F.when(t.rlike("[0-9@]"), own).otherwise(F.array().cast(_CONTEXT))
 
 
@@ -95,32 +129,37 @@ def slim(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", "base", contexts(F.col("text"), F.col("base")).alias("found"))
 
 
-def trusted_patterns(slim_docs: DataFrame, support: int = SUPPORT, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score), stored: patterns whose words are known identifiers often enough.
+def trusted_patterns(slim_docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """(pattern, score), stored: patterns (hashes) whose words are known identifiers often enough.
 
     The graph joins patterns and words. Base spans seed it with confidence 1. Each round scores a pattern by the mean
     confidence of its distinct words and a word by its best trusted pattern; so patterns trusted in one round let words of
-    others count in the next. Edges are distinct before they are shuffled by pattern or by word, and counts are summed within tasks.
+    others count in the next. Scores never fall, so trusted patterns stay; rounds end when one adds no pattern.
+    Edges are distinct before they are shuffled by pattern or by word, and counts are summed within tasks.
     """
-    edges = slim_docs.select(F.explode("found").alias("c")).select("c.pattern", "c.word", "c.seed")
+    edges = slim_docs.select(F.explode("found").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.xxhash64("c.word").alias("word"), "c.seed")
     edges = stored(edges.groupBy("pattern", "word").agg(F.max("seed").alias("seed")), "pii-edges")
     words = stored(edges.groupBy("word").agg(F.max("seed").cast("double").alias("conf")), "pii-words")
-    for turn in range(rounds):
+    trusted = 0
+    while True:
         # keys are wrapped, so that both sides of a join are dealt out for it alone and a hot key can be split
         known = edges.join(words.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"))
         score = known.groupBy("pattern").agg(F.avg("conf").alias("score"), F.sum(F.when(F.col("conf") >= share, 1).otherwise(0)).alias("n")).filter((F.col("score") >= share) & (F.col("n") >= support))
         score = stored(score.select("pattern", "score"), "pii-patterns")
-        if turn + 1 < rounds:
-            best = edges.join(score.withColumnRenamed("pattern", "_p"), F.col("pattern") == F.col("_p")).groupBy("word").agg(F.max("score").alias("best"))
-            words = stored(words.join(best.select(F.concat("word", F.lit("")).alias("_b"), "best"), F.col("word") == F.col("_b"), "left").select("word", F.greatest("conf", F.coalesce("best", F.lit(0.0))).alias("conf")), "pii-words")
-    return score
+        n = score.count()
+        if n <= trusted:
+            return score
+        trusted = n
+        best = edges.join(score.withColumnRenamed("pattern", "_p"), F.col("pattern") == F.col("_p")).groupBy("word").agg(F.max("score").alias("best"))
+        words = stored(words.join(best.select((F.col("word") + F.lit(0)).alias("_b"), "best"), F.col("word") == F.col("_b"), "left").select("word", F.greatest("conf", F.coalesce("best", F.lit(0.0))).alias("conf")), "pii-words")
 
 
 def discovered(slim_docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, th, extra): spans of words that lie in no base span and follow a trusted pattern, stored; one row for rows of equal id and text."""
+    """(doc_id, th, extra): spans of candidates that lie in no base span and have a trusted pattern, stored; one row for rows of equal id and text."""
     trusted = trusted_patterns(slim_docs, **how)
     each = slim_docs.select("doc_id", "th", F.explode("found").alias("c")).filter(~F.col("c.seed"))
-    hits = each.join(trusted.select(F.col("pattern").alias("_p")), F.col("c.pattern") == F.col("_p"))
+    each = each.select("doc_id", "th", "c", F.explode("c.patterns").alias("pattern"))
+    hits = each.join(trusted.select(F.col("pattern").alias("_p")), F.col("pattern") == F.col("_p"))
     span = F.struct(F.col("c.start").alias("start"), F.lit(KINDS.index("context")).alias("rank"), F.col("c.end").alias("end"), F.col("c.word").alias("word"))
     return stored(hits.groupBy("doc_id", "th").agg(F.collect_set(span).alias("extra")), "pii-extra")
 

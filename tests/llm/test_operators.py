@@ -401,6 +401,37 @@ def test_contexts_are_bootstrapped(spark):
     assert red[100] == "my card: <CONTEXT> lost" and red[0] == "call card: <CARD> now" and red[101] == rows[8][1] and red[102] is None
 
 
+def context_spans(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r.doc_id]: [(s.word, s["rank"]) for s in r.spans if s["rank"] == pii.KINDS.index("context")] for r in pii.find_pii(rows).collect()}
+
+
+def test_contexts_of_runs_starts_and_neighbours(spark):
+    """Identifiers of several words, of letters and digits, at a text's start and right after another one."""
+    context = pii.KINDS.index("context")
+    phones = [f"+1 555-123-4{i:03d}" for i in range(20)]
+    seeds = [f"reach me at {x} today" for x in phones] + [f"{x} rings twice" for x in phones] + [f"mail b{'c' * i}@d.org {x} please" for i, x in enumerate(phones)]
+    new = {
+        "reach me at 555 987 6543 tonight": "555 987 6543", "reach me at AB12 CD34 EF56 now": "AB12 CD34 EF56", "reach me at 9x8Y7z654 soon": "9x8Y7z654",
+        "1234 5678 9012 3456 beeps": "1234 5678 9012 3456", "mail x@y.org 777888999 thanks": "777888999", "thing 998 877-66 please": "998 877-66",
+    }
+    plain = [f"part {700000 + i} of stock" for i in range(40)]
+    got = context_spans(spark, seeds + list(new) + plain)
+    assert {t: got[t] for t in new} == {t: [(w, context)] for t, w in new.items()}
+    assert not any(got[t] for t in seeds + plain)
+
+
+def test_context_rounds_go_on_while_patterns_are_added(spark):
+    """Each label is trusted only once the one before it has made half of its unknown numbers known."""
+    seeds = [f"+1555000{i:04d}" for i in range(50)]
+    numbers = [[f"{k + 1}{i:02d}77777" for i in range(10)] for k in range(6)]
+    labels = ["alpha:", "bravo:", "coyote:", "delta:", "echo:"]
+    texts = [f"{x} {n}" for k, x in enumerate(labels) for n in seeds + (numbers[k - 1] if k else []) + numbers[k]]
+    got = context_spans(spark, texts + [f"order {x}99999" for x in range(100, 300)])
+    assert all(got[f"{x} {n}"] for k, x in enumerate(labels) for n in numbers[k])
+    assert not any(found for t, found in got.items() if t.startswith("order"))
+
+
 def test_pii_query_digest(spark, docs):
     for r in registry.queries()["op8_pii"](spark, SF).join(docs, "doc_id").limit(50).collect():
         want = brute_spans(r.text)
