@@ -172,15 +172,16 @@ def best_fit_plan(count: dict[int, int], capacity: int, most_docs: int | None =
 
     count: pieces of each length up to capacity. A piece goes to the feasible bin with the least weighted norm of what would
     be left (by="norm") or the largest weighted dot product of its needs and the bin's residuals (by="dot"); to a new bin
-    if none is feasible. Bins of equal residuals are treated at once. A capacity that tokens already imply takes no part; attention
-    counts in `units` of its capacity, rounded up, so a bin never exceeds it.
+    if none is feasible. Bins of equal residuals are treated at once. All three residuals select a bin, whether or not their capacity
+    can bind. Documents and attention that tokens already bound (also if no limit is given) have the bound as capacity. Attention counts in
+    `units` of its capacity: rounded up where it can bind, so a bin never exceeds it; else down, so it never keeps out what tokens let in.
     """
-    docs = most_docs if most_docs is not None and most_docs < capacity else None
-    attention = most_attention if most_attention is not None and most_attention < capacity**2 else None
-    caps = np.array([capacity, docs or 1, units if attention else 1], np.int64)
-    used = np.array([True, docs is not None, attention is not None])
-    scale = np.array(weights) * used
-    needs = lambda n: np.array([n, 1 if docs else 0, -(-n * n * units // attention) if attention else 0], np.int64)
+    docs = capacity if most_docs is None else min(most_docs, capacity)
+    attention = capacity**2 if most_attention is None else min(most_attention, capacity**2)
+    binds = attention < capacity**2
+    caps = np.array([capacity, docs, units], np.int64)
+    scale = np.array(weights)
+    needs = lambda n: np.array([n, 1, -(-n * n * units // attention) if binds else n * n * units // attention], np.int64)
     plan = Plan()
     kinds: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # residuals -> runs (first bin, bins)
     left = np.zeros((0, 3), np.int64)
@@ -195,7 +196,7 @@ def best_fit_plan(count: dict[int, int], capacity: int, most_docs: int | None =
 
     for n in sorted(count, reverse=True):
         need, todo, rank = needs(n), count[n], 0
-        if attention and n * n > attention:
+        if n * n > attention:
             raise ValueError(f"a piece of {n} tokens exceeds the attention capacity")
         while todo:
             fits = np.flatnonzero((left >= need).all(1)) if len(left) else np.empty(0, np.int64)

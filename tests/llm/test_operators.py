@@ -336,6 +336,14 @@ def test_packing_keeps_every_capacity(spark):
     assert packing.best_fit_plan({}, 100).bins == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"most_docs": 100, "most_attention": 10000}])
+def test_packing_selects_by_all_residuals(limits):
+    """18 tokens fill the bin of 41 + 41 exactly, but that of 80 has less attention left: the norm of all three takes it."""
+    plan = packing.best_fit_plan({80: 1, 41: 2, 18: 1}, 100, **limits)
+    assert {r[0]: r[3] for r in plan.rows} == {80: 0, 41: 1, 18: 0}
+    assert packing.best_fit_plan({1: 1000}, 100, **limits).bins == 10  # what cannot bind keeps nothing out
+
+
 def test_packing_empty(empty):
     assert packing.pack(stored(packing.pieces(empty), "t")).count() == 0
 
