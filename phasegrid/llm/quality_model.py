@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm import worker_memory
-from phasegrid.llm.common import small_batches, table
+from phasegrid.llm.common import small_batches, stored, table
 from phasegrid.llm.text_hash import mix, text_chunks, word_hashes
 
 #: Overlapping labellers; each votes good (1), bad (0) or abstains (2).
@@ -186,8 +186,8 @@ def linear_score(text: Column, weights: np.ndarray) -> Column:
 def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, dict]:
     """docs with weak_votes, weak_posterior, quality_score and quality_kept; and what was learned.
 
-    Vote patterns of all documents are counted (at most 3^labellers rows reach the driver), EM estimates the labellers'
-    accuracies without any labels, and the posteriors of at most fit_rows documents train the scorer, which then judges every row by
+    Vote patterns are counted by hash of the text, then over all documents (at most 3^labellers rows reach the driver), EM estimates the labellers'
+    accuracies without any labels, and the posteriors of at most fit_rows distinct texts train the scorer, which then judges every row by
     itself: the text is never shuffled. A row is kept from `threshold` on. Texts that are null or have no words score 0 and
     go; texts too short for any labeller keep the corpus's prior as posterior and are judged by the scorer. Repeated
     rows are judged alike; an empty table gives no rows.
@@ -195,21 +195,24 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
     columns = [c for c in docs.columns if c not in ("weak_votes", "weak_posterior", "quality_score", "quality_kept")]
     small_batches(docs.sparkSession)
     base = docs.select(*columns)
-    counts = {int(p): int(n) for p, n in base.select(vote_pattern(F.col("text")).alias("p")).groupBy("p").count().collect()}
+    seen = base.select(F.xxhash64("text").alias("o"), vote_pattern(F.col("text")).alias("p")).groupBy("o", "p").agg(F.count("*").alias("n"))
+    seen = stored(seen, "votes")
+    counts = {int(p): int(n) for p, n in seen.groupBy("p").agg(F.sum("n")).collect()}
     if not counts:
         return base.withColumns({"weak_votes": F.lit(0), "weak_posterior": F.lit(0.0), "quality_score": F.lit(0.0), "quality_kept": F.lit(False)}), {}
     post, accuracy, prior = estimate_accuracies(counts)
     voted = [p for p in post if any(p // 3**i % 3 != 2 for i in range(len(LABELLERS)))]
     # half of them look bad, half good; of each side those with the smallest hashes, each text once
-    picked: list[tuple] = []
+    chosen: list[tuple[int, int]] = []
     for side in (True, False):
         own = [p for p in voted if (post[p] >= 0.5) == side]
-        n = sum(counts[p] for p in own)
-        if own:
-            share = min(1.0, 2 * (fit_rows // 2) / n)
-            near = base.select("text", F.xxhash64("text").alias("o")).filter(F.col("text").isNotNull() & (F.col("o") <= min(2**63 - 1, int(-(2**63) + share * 2**64))))
-            near = near.dropDuplicates(["o"]).withColumn("p", vote_pattern(F.col("text"))).filter(F.col("p").isin(own))
-            picked += near.select("o", "p", bag(F.col("text")).alias("bag")).orderBy("o").limit(fit_rows // 2).select("bag", "p").collect()
+        chosen += [(r.o, r.p) for r in seen.filter(F.col("p").isin(own)).orderBy("o").limit(fit_rows // 2).select("o", "p").collect()] if own else []
+    picked: list[tuple] = []
+    if chosen:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame([(o,) for o, _ in chosen], "_o long"))
+        near = base.select("text", F.xxhash64("text").alias("o")).filter(F.col("text").isNotNull()).join(wanted, F.col("o") == F.col("_o"), "left_semi")
+        bags = {r.o: r.bag for r in near.dropDuplicates(["o"]).select("o", bag(F.col("text")).alias("bag")).collect()}
+        picked = [(bags[o], p) for o, p in chosen]
     weights = fit_scorer([bytes(r[0]) for r in picked], np.array([post[r[1]] for r in picked])) if picked else np.zeros(BUCKETS + 1)
     weights[-1] += np.log(prior / (1 - prior))  # the fit weighed both classes alike
     known = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(x)) for p, x in post.items()))

@@ -279,6 +279,19 @@ def test_em_finds_accuracies():
     assert (guess == good).mean() > 0.9 and abs(prior - 0.8) < 0.1 and np.all(accuracy[:, 1] > 0.25)
 
 
+def test_quality_fitting_sample_is_of_distinct_texts(spark, monkeypatch):
+    """Copies take no place in the fitting sample: all 41 bad texts are in it, and as many good ones as there is room for."""
+    fitted = []
+    fit = quality_model.fit_scorer
+    monkeypatch.setattr(quality_model, "fit_scorer", lambda bags, post: fitted.append((bags, post)) or fit(bags, post))
+    words = lambda i: " ".join("plain sentence about rivers mountains valleys forests winter morning travel".split()[i % 10 :] + ["and", chr(97 + i // 26) + chr(97 + i % 26), "people", "walked", "slowly", "towards", "their", "little", "village", "again"])
+    bad = ["### $$$ %%% *** @@@ " * 4 + "w" * (i + 1) for i in range(41)]
+    texts = [bad[0]] * 800 + bad[1:] + [words(i) for i in range(200)]
+    quality_model.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fit_rows=100)
+    (bags, post), = fitted
+    assert len(set(bags)) == len(bags) == 91 and int((post < 0.5).sum()) == 41
+
+
 def test_quality_classifier_odd_rows(odd, empty):
     out, _ = quality_model.classify(odd)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
