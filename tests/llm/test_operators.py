@@ -412,47 +412,113 @@ def test_base_spans_equal_plain_patterns(spark, docs, odd):
             assert r.s == brute_spans(r.text), r.text[:100]
 
 
+CARDS = ["4111111111111111", "5500000000000004", "4012888888881881", "378282246310005", "6011111111111117", "30569309025904", "3530111333300000"]
+
+
 def test_contexts_are_bootstrapped(spark):
-    rows = [(i, f"call card: {c} now") for i, c in enumerate(["4111111111111111", "5500000000000004", "4012888888881881", "378282246310005", "6011111111111117", "30569309025904", "3530111333300000"])]
-    rows += [(100, "my card: 1234567890123456 lost"), (101, "order no 1234567890123456"), (102, None), (102, None)]
-    out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("l", pii.listed(F.col("spans"))).collect()}
-    assert out[100].l == "context:9:25" and out[101].l == "" and out[102].l == ""
-    assert out[0].l == "card:11:27"
-    red = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    """By the word before; by shape where words say nothing; not without either."""
+    rows = [(i, f"call card: {c} now") for i, c in enumerate(CARDS)]
+    rows += [(100, "my card: 123456789 lost"), (101, "order no 123456789"), (102, None), (102, None), (103, "order no 1234567890123456")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.l for r in pii.find_pii(df).withColumn("l", pii.listed(F.col("spans"))).collect()}
+    assert out == {i: f"card:11:{11 + len(c)}" for i, c in enumerate(CARDS)} | {100: "context:9:18", 101: "", 102: "", 103: "context:9:25"}
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert red[100] == "my card: <CONTEXT> lost" and red[0] == "call card: <CARD> now" and red[101] == rows[8][1] and red[102] is None
 
 
 def context_spans(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {texts[r.doc_id]: [(s.word, s["rank"]) for s in r.spans if s["rank"] == pii.KINDS.index("context")] for r in pii.find_pii(rows).collect()}
+    return {texts[r.doc_id]: [texts[r.doc_id][s.start : s.end] for s in r.spans if s["rank"] == pii.KINDS.index("context")] for r in pii.find_pii(rows).collect()}
 
 
 def test_contexts_of_runs_starts_and_neighbours(spark):
-    """Identifiers of several words, of letters and digits, at a text's start and right after another one."""
-    context = pii.KINDS.index("context")
+    """Identifiers of several words, of letters and digits, at a text's start and right after another one; punctuation around stays outside."""
     phones = [f"+1 555-123-4{i:03d}" for i in range(20)]
     seeds = [f"reach me at {x} today" for x in phones] + [f"{x} rings twice" for x in phones] + [f"mail b{'c' * i}@d.org {x} please" for i, x in enumerate(phones)]
     new = {
-        "reach me at 555 987 6543 tonight": "555 987 6543", "reach me at AB12 CD34 EF56 now": "AB12 CD34 EF56", "reach me at 9x8Y7z654 soon": "9x8Y7z654",
+        "reach me at 555 987 6543 tonight": "555 987 6543", "reach me at AB12 CD34 EF56 now": "AB12 CD34 EF56", "reach me at (9x8Y7z654)!! soon": "9x8Y7z654",
         "1234 5678 9012 3456 beeps": "1234 5678 9012 3456", "mail x@y.org 777888999 thanks": "777888999", "thing 998 877-66 please": "998 877-66",
     }
     plain = [f"part {700000 + i} of stock" for i in range(40)]
     got = context_spans(spark, seeds + list(new) + plain)
-    assert {t: got[t] for t in new} == {t: [(w, context)] for t, w in new.items()}
+    assert {t: got[t] for t in new} == {t: [w] for t, w in new.items()}
     assert not any(got[t] for t in seeds + plain)
 
 
-def test_context_rounds_go_on_while_patterns_are_added(spark):
-    """Each label is trusted only once the one before it has made half of its unknown numbers known."""
+def test_assigned_credentials_are_seeds(spark):
+    """Values of credential names are found, and from them others of their shape; versions and years in between are known to be none."""
+    value = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    seeds = [f'word {i} token = "{value(i)}" more' for i in range(8)]
+    got = context_spans(spark, [*seeds, f"| {value(99)} |", "version 3.0 of 1998", "note = plainwords"])
+    assert all(got[t] == [value(i)] for i, t in enumerate(seeds)) and got[f"| {value(99)} |"] == [value(99)]
+    assert not got["version 3.0 of 1998"] and not got["note = plainwords"]
+
+
+def test_context_rounds_go_on_while_words_become_known(spark):
+    """Each label is trusted only once the one before it has made half of its unknown numbers known; every label's numbers have a shape of their own."""
     seeds = [f"+1555000{i:04d}" for i in range(50)]
-    numbers = [[f"{k + 1}{i:02d}77777" for i in range(10)] for k in range(6)]
+    numbers = [["/".join(f"{i:02d}{k}" for _ in range(k + 2)) for i in range(10)] for k in range(6)]
     labels = ["alpha:", "bravo:", "coyote:", "delta:", "echo:"]
     texts = [f"{x} {n}" for k, x in enumerate(labels) for n in seeds + (numbers[k - 1] if k else []) + numbers[k]]
-    got = context_spans(spark, texts + [f"order {x}99999" for x in range(100, 300)])
+    got = context_spans(spark, texts + [f"order {x}x99999" for x in range(100, 300)])
     assert all(got[f"{x} {n}"] for k, x in enumerate(labels) for n in numbers[k])
     assert not any(found for t, found in got.items() if t.startswith("order"))
 
 
+def brute_trusted(found, support, share):
+    words, edges, shapes = {}, defaultdict(set), set()
+    for _, _, contexts in found:
+        for c in contexts:
+            for p in c["patterns"]:
+                edges[p].add(c["node"])
+            shapes.add(c["patterns"][-1])
+            old = words.get(c["node"])
+            words[c["node"]] = c["known"] if old is None else old if c["known"] is None else max(old, c["known"])
+    conf = {w: None if k is None else float(min(k, 1)) for w, k in words.items()}
+    while True:
+        score = {}
+        for p, own in edges.items():
+            of = [conf[w] or 0.0 for w in own if conf[w] is not None or p not in shapes]
+            if of and sum(of) / len(of) >= share and sum(c >= share for c in of) >= support:
+                score[p] = sum(of) / len(of)
+        best = defaultdict(float)
+        for p, x in score.items():
+            for w in edges[p]:
+                best[w] = max(best[w], x)
+        new = {w: best[w] for w, c in conf.items() if c is None and w in best}
+        if not new:
+            return {p: round(x, 9) for p, x in score.items()}
+        conf |= new
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pattern_scoring_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    known = {int(w): [None, None, None, 0, 1, 2, 2, 2, 2][rng.integers(9)] for w in range(120)}
+    rows = [(i, i, [{"patterns": [int(x) for x in (w // 6 + rng.integers(0, 2, 4))] + [int(1000 + w % 7)], "node": int(w), "start": 0, "end": 1, "known": known[int(w)]} for w in rng.integers(0, 120, 6)]) for i in range(60)]
+    df = stored(spark.createDataFrame(rows, f"doc_id long, th long, found {pii._CONTEXT}"), "t")
+    got = {r.pattern: round(r.score, 9) for r in pii.trusted_patterns(df, 3, 0.75).collect()}
+    assert got == brute_trusted(rows, 3, 0.75) and got
+
+
+def test_pii_of_long_texts(spark):
+    """Many matches, and overlapping ones of several kinds, in one text."""
+    text = " ".join(f"item {1000000 + i} a{i}@b.org +1 555 {1000000 + i} 10.0.{i % 256}.1@c.de" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find_pii(df).select(pii.listed(F.col("base")).alias("b")).first().b
+    assert got == brute_spans(text)
+    red = pii.redact(df).first().text
+    assert red.count("<EMAIL>") == 10000 and red.count("<PHONE>") == 5000 and "@" not in red and red.startswith("item ")
+
+
+def test_redact_keeps_clashing_columns(spark):
+    rows = [(1, "write x@y.org", "th", "base", "spans", "extra", "row", "hidden", "c")] * 2 + [(2, None, *"abcdefg"), (None, "", *"abcdefg")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string, base string, spans string, extra string, row string, hidden string, found string")
+    got = Counter(map(tuple, pii.redact(df).collect()))
+    assert got == Counter([(r[0], "write <EMAIL>" if r[1] else r[1], *r[2:]) for r in rows])
+    assert pii.redact(df).columns == df.columns and pii.redact(df.limit(0)).count() == 0
+
+
 def test_pii_query_digest(spark, docs):
     for r in registry.queries()["op8_pii"](spark, SF).join(docs, "doc_id").limit(50).collect():
         want = brute_spans(r.text)
