@@ -571,3 +571,25 @@ def test_top_k_few_rows(spark):
     v = topk_search.quantised(spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
     assert {tuple(r) for r in topk_search.top_k(v, v, 5).collect()} == {(0, 1, 50, 131072), (50, 1, 0, 131072)}
     assert topk_search.top_k(v.limit(0), v.limit(0), 5).count() == 0
+
+
+def test_top_k_in_tiles_of_queries(spark, monkeypatch):
+    """Several tiles and vector lengths, repeated rows, extra columns; of one query id with two vectors the least counts."""
+    monkeypatch.setattr(topk_search, "TILE_SIZE", 64)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.normal(size=[4, 6][i % 2])]) for i in rng.integers(0, 400, 500)]
+    v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), "vec_id", "embedding").withColumn("score", F.lit("clash"))
+    quantised = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    queries = {i: min(e for j, e in quantised if j == i) for i, _ in rows if i % 3 == 0}
+    want = set()
+    for i, a in queries.items():
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in quantised if j != i and len(a) == len(b))[:5]
+        want |= {(i, r, j, -t) for r, (t, j) in enumerate(best, 1)}
+    got = [tuple(r) for r in topk_search.top_k(v, v.filter("id % 3 = 0"), 5).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_top_k_refuses_sums_beyond_62_bits(spark):
+    v = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 40, 2])], "id long, v array<bigint>")
+    with pytest.raises(ValueError, match="62 bits"):
+        topk_search.top_k(v, v, 1)
