@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the smallest tables and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -156,15 +157,13 @@ def brute_base(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), rep
 
 
-def brute_features(w):
-    h = lambda s, seed: (x - 2**64 if (x := xxhash.xxh64(s, seed).intdigest()) >= 2**63 else x)
-    end = xxhash.xxh64(w[-quality_rules.END :].encode(), seed_of_int(quality_rules.END)).intdigest()
-    end = end - 2**64 if end >= 2**63 else end
-    return h(w.encode(), 42) % quality_rules.WORD_BUCKETS, quality_rules.WORD_BUCKETS + end % quality_rules.END_BUCKETS
-
-
-def seed_of_int(n):
-    return xxhash.xxh64(n.to_bytes(4, "little"), 42).intdigest()
+def brute_features(words):
+    h = [xxhash.xxh64(w.encode(), 42).intdigest() for w in words]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    pair = lambda x, y: signed(xxhash.xxh64(y.to_bytes(8, "little"), xxhash.xxh64(x.to_bytes(8, "little"), 42).intdigest()).intdigest())
+    end = lambda w: signed(xxhash.xxh64(w[-quality_rules.END :].encode(), xxhash.xxh64(quality_rules.END.to_bytes(4, "little"), 42).intdigest()).intdigest())
+    ends = [quality_rules.WORD_BUCKETS + end(w) % quality_rules.END_BUCKETS for w in words]
+    return [signed(x) % quality_rules.WORD_BUCKETS for x in h] + ends + [quality_rules.BLOCKS[2][0] + pair(x, y) % quality_rules.PAIR_BUCKETS for x, y in itertools.pairwise(h)]
 
 
 def test_quality_rules(spark, docs, odd):
@@ -187,18 +186,38 @@ def test_likelihood_ratio_equals_brute_force(spark, docs):
     ids = {r[0] for r in trusted.collect()}
     few = docs.limit(60).select("doc_id", "text")
     got = quality_rules.log_ratios(few, trusted)
-    raw, goal = Counter(), Counter()
+    raw, goal, each = Counter(), Counter(), {}
     for r in few.collect():
-        for w in WORD.findall(r.text or ""):
-            for k in brute_features(w):
-                raw[k] += 1
-                goal[k] += r.doc_id in ids
-    b = quality_rules.WORD_BUCKETS
-    n, m = sum(v for k, v in raw.items() if k < b), sum(v for k, v in goal.items() if k < b)
-    for k in list(raw)[:500]:
-        if k < b:
+        each[r.doc_id] = WORD.findall(r.text or "")
+        raw.update(brute_features(each[r.doc_id]))
+        if r.doc_id in ids:
+            goal.update(brute_features(each[r.doc_id]))
+    for lo, hi in quality_rules.BLOCKS:
+        n, m, b = sum(raw[k] for k in range(lo, hi)), sum(goal[k] for k in range(lo, hi)), hi - lo
+        for k in range(lo, hi):
             share = (raw[k] + 1) / (n + b)
-            assert math.isclose(got[k], math.log((goal[k] + 10 * share * b) / (m + 10 * b) / share), rel_tol=1e-9)
+            assert math.isclose(got[k], math.log((goal[k] + 10 * share * b) / (m + 10 * b) / share), rel_tol=1e-9, abs_tol=1e-12)
+    score = few.select("doc_id", quality_rules.word_hashes(F.col("text")).alias("g")).select("doc_id", quality_rules.likelihood_score(F.col("g"), got).alias("s"))
+    for r in score.collect():
+        w = each[r.doc_id]
+        assert abs(r.s - (sum(got[k] for k in brute_features(w)) / len(w) if w else 0.0)) < 1e-5
+
+
+def test_likelihood_depends_on_the_order_of_words(spark, docs):
+    labels = table(spark, SF, "labels")
+    good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("size(split(text, ' ')) > 100").select("doc_id", "text")
+    mixed = good.select("doc_id", F.array_join(F.array_sort(F.split("text", " ")), " ").alias("text"))
+    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels))
+    mean = lambda df: df.select(quality_rules.word_hashes(F.col("text")).alias("g")).agg(F.avg(quality_rules.likelihood_score(F.col("g"), ratios))).first()[0]
+    assert mean(mixed) < mean(good) - 0.05
+
+
+def test_quality_rules_clashing_columns_and_long_text(spark):
+    rows = [(1, "a b c " * 200000, "w", "g", "row", 5), (2, None, "w", "g", "row", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _w string, g string, row string, n_words int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, table(spark, SF, "labels")).drop("text").collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed, got[1].g, got[1]._w, got[1].row) == (600000, 600000, True, "g", "w", "row")
+    assert got[2].n_words == 0 and not got[2].kept
 
 
 def test_quality_rules_without_labels(empty, odd, spark):
