@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm import worker_memory
-from phasegrid.llm.common import small_batches, stored, table
+from phasegrid.llm.common import drop_stored, small_batches, stored, table
 from phasegrid.llm.text_hash import mix, text_chunks, word_hashes
 
 #: Overlapping labellers; each votes good (1), bad (0) or abstains (2).
@@ -19,8 +19,8 @@ LABELLERS = ("symbols", "upper_case", "repetition", "separators", "word_length",
 BUCKETS = 1 << 14
 #: The scorer is fitted on at most so many documents, those of the smallest hash of the text; all else covers every document.
 FIT_ROWS = 4000
-#: Prior shares of good votes on good texts, and of bad votes on bad ones.
-PRECISION, RECALL = 0.999, 0.2
+#: Prior shares of good votes on good texts, and of bad votes on bad ones, and the votes that each prior counts for.
+PRECISION, RECALL, PRIOR_VOTES = 0.99, 0.2, 100.0
 #: Words added to a text's length when its buckets are averaged: short texts say little, and stay near the prior.
 DAMPING = 10
 #: A document is rejected below this probability of being good.
@@ -79,7 +79,7 @@ def _votes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def vote_pattern(text: Column) -> Column:
-    """The labellers' votes on a text, digits of base 3."""
+    """The labellers' votes on a text, digits of base 3; null text: all abstain."""
 
     @F.arrow_udf("int")
     def votes(texts: pa.Array) -> pa.Array:
@@ -90,13 +90,25 @@ def vote_pattern(text: Column) -> Column:
     return votes(text)
 
 
+def posterior_of(votes: Column, post: dict[int, float]) -> Column:
+    """A table of at most 3^labellers patterns, looked up within tasks."""
+    patterns = np.array(sorted(post), np.int64)
+    values = np.array([post[p] for p in patterns.tolist()])
+
+    @F.arrow_udf("double")
+    def find(votes: pa.Array) -> pa.Array:
+        return pa.array(values[np.searchsorted(patterns, votes.to_numpy(zero_copy_only=False))])
+
+    return find(votes)
+
+
 def estimate_accuracies(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
     """Posterior probability of good for each pattern, each labeller's accuracy (P(vote good | good), P(vote bad | bad)) and the share of good documents.
 
     Expectation-maximisation of a two-class model in which labellers vote independently given the class; counts has at most 3^labellers patterns.
     Labellers look for different faults, so most say good of a bad text; what is known beforehand is that they
-    seldom call a good text bad, and that each sees some share of bad ones. These are priors of as much weight as the data; else the
-    bad class would shrink to the faults that two labellers see at once.
+    seldom call a good text bad, and that each sees some share of bad ones. These priors weigh as much as PRIOR_VOTES votes: they decide
+    on small corpora and of labellers that hardly vote, and vanish as votes come in.
     """
     patterns = np.array(sorted(counts), np.int64)
     weight = np.array([counts[p] for p in patterns.tolist()], np.float64)
@@ -107,8 +119,8 @@ def estimate_accuracies(counts: dict[int, int], labellers: int = len(LABELLERS),
     for _ in range(rounds):
         wg, wb = weight * post, weight * (1 - post)
         prior = (wg.sum() + 1) / (weight.sum() + 2)
-        accuracy[:, 0] = (wg @ good + PRECISION * weight.sum()) / (wg @ (good + bad) + weight.sum())
-        accuracy[:, 1] = (wb @ bad + RECALL * wb.sum() + 0.1) / (wb @ (good + bad) + wb.sum() + 1)
+        accuracy[:, 0] = (wg @ good + PRECISION * PRIOR_VOTES) / (wg @ (good + bad) + PRIOR_VOTES)
+        accuracy[:, 1] = (wb @ bad + RECALL * PRIOR_VOTES) / (wb @ (good + bad) + PRIOR_VOTES)
         log = np.log(prior / (1 - prior)) + good @ np.log(accuracy[:, 0] / (1 - accuracy[:, 1])) + bad @ np.log((1 - accuracy[:, 0]) / accuracy[:, 1])
         new = 1 / (1 + np.exp(-np.clip(log, -40, 40)))
         if np.abs(new - post).max() < 1e-9:
@@ -188,7 +200,7 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
 
     Vote patterns are counted by hash of the text, then over all documents (at most 3^labellers rows reach the driver), EM estimates the labellers'
     accuracies without any labels, and the posteriors of at most fit_rows distinct texts train the scorer, which then judges every row by
-    itself: the text is never shuffled. A row is kept from `threshold` on. Texts that are null or have no words score 0 and
+    itself: the text is never shuffled. Columns of docs named like a new one are replaced. A row is kept from `threshold` on. Texts that are null or have no words score 0 and
     go; texts too short for any labeller keep the corpus's prior as posterior and are judged by the scorer. Repeated
     rows are judged alike; an empty table gives no rows.
     """
@@ -203,10 +215,9 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
     post, accuracy, prior = estimate_accuracies(counts)
     voted = [p for p in post if any(p // 3**i % 3 != 2 for i in range(len(LABELLERS)))]
     # half of them look bad, half good; of each side those with the smallest hashes, each text once
-    chosen: list[tuple[int, int]] = []
-    for side in (True, False):
-        own = [p for p in voted if (post[p] >= 0.5) == side]
-        chosen += [(r.o, r.p) for r in seen.filter(F.col("p").isin(own)).orderBy("o").limit(fit_rows // 2).select("o", "p").collect()] if own else []
+    sides = F.broadcast(docs.sparkSession.createDataFrame([(p, post[p] >= 0.5) for p in voted], "_p int, good boolean"))
+    sided = seen.join(sides, F.col("p") == F.col("_p"))
+    chosen = [(r.o, r.p) for side in (True, False) for r in sided.filter(F.col("good") == side).orderBy("o", "p").limit(fit_rows // 2).select("o", "p").collect()]
     picked: list[tuple] = []
     if chosen:
         wanted = F.broadcast(docs.sparkSession.createDataFrame([(o,) for o, _ in chosen], "_o long"))
@@ -215,9 +226,9 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
         picked = [(bags[o], p) for o, p in chosen]
     weights = fit_scorer([bytes(r[0]) for r in picked], np.array([post[r[1]] for r in picked])) if picked else np.zeros(BUCKETS + 1)
     weights[-1] += np.log(prior / (1 - prior))  # the fit weighed both classes alike
-    known = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(x)) for p, x in post.items()))
     out = base.withColumn("weak_votes", vote_pattern(F.col("text")))
-    out = out.withColumns({"weak_posterior": F.try_element_at(known, F.col("weak_votes")), "quality_score": linear_score(F.col("text"), weights)})
+    out = out.withColumns({"weak_posterior": posterior_of(F.col("weak_votes"), post), "quality_score": linear_score(F.col("text"), weights)})
+    drop_stored(seen)
     return out.withColumn("quality_kept", F.col("quality_score") >= threshold), {"accuracy": dict(zip(LABELLERS, accuracy.tolist(), strict=True)), "good_share": prior}
 
 

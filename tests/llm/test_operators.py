@@ -287,15 +287,49 @@ def test_quality_classifier_held_out_accuracy(spark):
     assert 0.5 < learned["good_share"] < 1 and set(learned["accuracy"]) == set(quality_model.LABELLERS)
 
 
-def test_em_finds_accuracies():
+def test_em_recovers_simulated_accuracies():
+    """Both accuracies of every labeller, each its own, and the share of good texts; labellers abstain at random."""
     rng = np.random.default_rng(3)
-    k = len(quality_model.LABELLERS)
-    good = rng.random(20000) < 0.8
-    bad_vote = np.where(good[:, None], rng.random((20000, k)) < 0.01, rng.random((20000, k)) < 0.4)
-    counts = Counter((np.where(bad_vote, 0, 1) * 3 ** np.arange(k)).sum(1).tolist())
-    post, accuracy, prior = quality_model.estimate_accuracies(dict(counts))
-    guess = np.array([post[p] for p in (np.where(bad_vote, 0, 1) * 3 ** np.arange(k)).sum(1).tolist()]) > 0.5
-    assert (guess == good).mean() > 0.9 and abs(prior - 0.8) < 0.1 and np.all(accuracy[:, 1] > 0.25)
+    k, n = len(quality_model.LABELLERS), 100_000
+    on_good, on_bad = np.linspace(0.9, 0.99, k), np.linspace(0.35, 0.75, k)
+    good = rng.random(n) < 0.8
+    right = rng.random((n, k)) < np.where(good[:, None], on_good, on_bad)
+    votes = np.where(rng.random((n, k)) < 0.1, 2, np.where(right == good[:, None], 1, 0))
+    pattern = (votes * 3 ** np.arange(k)).sum(1).tolist()
+    post, accuracy, prior = quality_model.estimate_accuracies(dict(Counter(pattern)))
+    assert np.abs(accuracy[:, 0] - on_good).max() < 0.02 and np.abs(accuracy[:, 1] - on_bad).max() < 0.03 and abs(prior - 0.8) < 0.02
+    assert ((np.array([post[p] for p in pattern]) > 0.5) == good).mean() > 0.9
+
+
+def brute_votes(t):
+    """The labellers' votes by plain string work."""
+    b = (t or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    lower, upper, digit = (lambda c, r=r: c in r for r in (range(97, 123), range(65, 91), range(48, 58)))
+    symbol = lambda c: c in b"#*$%&|<>~^=_@\\{}"
+    mark = lambda c: 33 <= c < 127 and not (lower(c) or upper(c) or digit(c))
+    n, some = len(words), len(words) >= 10
+    m = max(n, 1)
+    chars = max(1, sum(lower(c) or upper(c) or digit(c) or mark(c) or c >= 128 for c in b))
+    letters = max(1, sum(lower(c) or upper(c) for c in b))
+    letter = lambda c: lower(c) or upper(c) or c >= 128
+    again = sum(v - 1 for v in Counter(words).values())
+    values = [
+        (sum(map(symbol, b)) / chars, 0.02, 0.08, some), (sum(map(upper, b)) / letters, 0.15, 0.5, some), (sum(x == y for x, y in itertools.pairwise(words)) / m, 0.05, 0.3, some),
+        (sum(len(w) == 1 and (mark(w[0]) or w[0] >= 128) for w in words) / m, 0.05, 0.2, some), (abs(sum(map(len, words)) / m - 6.5), 3.5, 12.0, some),
+        (sum(c in b"!?" for c in b) / m, 0.1, 0.4, some), ((b.count(b"\n") + 1) / m, 0.2, 0.7, some), (again / m, 0.65, 0.85, some and 30 <= n <= 5000),
+        (1 - sum(all(letter(c) for c in (w[:-1] or w)) for w in words) / m, 0.1, 0.4, some),
+    ]
+    return sum((2 if not sure else 1 if x <= lo + 1e-12 else 0 if x >= hi - 1e-12 else 2) * 3**i for i, (x, lo, hi, sure) in enumerate(values))
+
+
+def test_votes_and_posteriors_equal_brute_force(spark, docs, odd):
+    for df in (docs, odd):
+        rows = quality_model.classify(df)[0].select("text", "weak_votes", "weak_posterior", "quality_score").collect()
+        assert [r.weak_votes for r in rows] == [brute_votes(r.text) for r in rows]
+        post, _, _ = quality_model.estimate_accuracies(dict(Counter(r.weak_votes for r in rows)))
+        assert all(math.isclose(r.weak_posterior, post[r.weak_votes], rel_tol=1e-12) for r in rows)
+        assert len({(r.text, r.quality_score) for r in rows}) == len({r.text for r in rows})
 
 
 def test_quality_fitting_sample_is_of_distinct_texts(spark, monkeypatch):
