@@ -248,7 +248,7 @@ def _placed(plan: Plan, length: Column, rank: Column) -> Column:
 
 
 def pack(cut: DataFrame, capacity: int = 4096, **limits) -> DataFrame:
-    """cut (stored pieces with a length of at most capacity) with sequence_id and offset.
+    """cut (stored pieces with a length of at most capacity) with sequence_id and offset; an empty table stays empty.
 
     The plan needs the number of pieces of each length only (at most `capacity` rows at the driver); each piece then
     finds its place by its gapless rank among pieces of its length, counted in slices so that a common length burdens no task.
@@ -264,7 +264,7 @@ def pack(cut: DataFrame, capacity: int = 4096, **limits) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = stored(pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), 4096), "pieces")
-    return pack(cut, 4096, most_docs=4096, most_attention=4096**2).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(cut, 4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {"op6_packing": op6_packing}
