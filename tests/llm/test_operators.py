@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on the smallest tables and on odd rows."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -432,11 +433,39 @@ def test_mixing(docs, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(empty).columns == empty.columns
 
 
-def test_targets_water_filling():
-    got = mixing.targets({"a": 10, "b": 1000, "c": 1000, None: 10})
-    assert got["a"] == 30.0 and got[None] == 30.0
-    assert math.isclose(got["b"], 1960 * 2 / 3) and math.isclose(got["c"], 1960 / 3)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def brute_targets(sizes):
+    names = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
+    weight, out, left = {x: mixing.WEIGHTS[i % 3] for i, x in enumerate(names)}, {}, sum(sizes.values())
+    while rest := [x for x in names if x not in out]:
+        unit = left / sum(weight[x] for x in rest)
+        over = [x for x in rest if unit * weight[x] > 3 * sizes[x]]
+        out |= {x: 3.0 * sizes[x] for x in over} if over else {x: unit * weight[x] for x in rest}
+        left -= sum(3 * sizes[x] for x in over)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 3])
+def test_targets_and_draws_equal_brute_force(spark, docs, odd, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    few = [("a", 10), ("b", 1000), ("c", 1000), (None, 10), ("é", 500), ("Z", 1), ("\U0001f600", 7), ("\uffff", 3)]
+    made = spark.createDataFrame([(i, "w " * n, x) for i, (x, n) in enumerate(few)], "doc_id long, text string, source string")
+    chain = lambda values: functools.reduce(lambda h, v: h if v is None else xxhash.xxh64(v, h).intdigest(), values, 42)
+    for df in (made, docs, odd):
+        rows = mixing.mix_rates(df).collect()
+        sizes = {x: sum(r.mix_size for r in rows if r.source == x) for x in {r.source for r in rows}}
+        goal = brute_targets(sizes)
+        for r in rows:
+            assert math.isclose(r.mix_target, goal[r.source], rel_tol=1e-9) and r.mix_source_size == sizes[r.source]
+            rate = min(3.0, r.mix_target / sizes[r.source]) if sizes[r.source] else 0.0
+            h = chain([(20260812).to_bytes(4, "little"), None if r.doc_id is None else r.doc_id.to_bytes(8, "little"), None if r.text is None else r.text.encode(), None if r.source is None else r.source.encode()])
+            assert r.mix_copies == math.floor(rate) + (h % 2**40 / 2**40 < rate - math.floor(rate))
+
+
+def test_mix_keeps_clashing_columns(spark):
+    rows = [(i, "a b c", "s", "1", "2", "3", "4", "5") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source string, mix_copies string, row string, n string, copy string")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {tuple(r)[1:] for r in got.collect()} == {r[1:] for r in rows}
 
 
 # 8 ------------------------------------------------------------------------------------------------------------
