@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,16 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; if none is named, a temporary folder (local master) or the warehouse."""
+    """The cluster's checkpoint folder; if none is named, one in the warehouse, which executors share, too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        if spark.sparkContext.master.startswith("local"):
-            _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="phasegrid-")
-        else:
-            _own_dir[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_phasegrid"
+        _own_dir[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_phasegrid"
     return _own_dir[app]
 
 

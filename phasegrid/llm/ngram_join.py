@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm import worker_memory
@@ -17,9 +17,11 @@ from phasegrid.llm.text_hash import mix, shingle_sets
 WIDTH, PERCENT = 5, 75
 #: n-grams of at least so many documents come last in the global order (more, if they would exceed MAX_COMMON).
 COMMON = 12
-MAX_COMMON = 1 << 22
-#: The order is cut into so many fragments for partial overlaps.
-FRAGMENTS = 2
+MAX_COMMON = 1 << 20
+#: The global order is cut into so many fragments of rare n-grams, then so many of common ones; overlaps in the first HEAD rule pairs out.
+RARE_FRAGMENTS, COMMON_FRAGMENTS, HEAD = 8, 4, 4
+#: A set in more pairs than this meets its partners in several tasks.
+HOT = 64
 #: Posting lists of at most so many sets compare all pairs at once; longer ones go by pivots first.
 SHORT = 32
 PIVOT_ROUNDS = 4
@@ -59,7 +61,7 @@ def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[i
     such n-grams, the power of 2 from which there are not: the driver and the broadcast hold at most `most` numbers.
     """
     spark = docs.sparkSession
-    bits = min(17, max(6, int(np.ceil(np.log2(2 * max(1, docs.rdd.getNumPartitions()))))))
+    bits = min(21, max(6, int(np.ceil(np.log2(2 * max(1, docs.rdd.getNumPartitions()))))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory.start("ngrams")
@@ -93,25 +95,47 @@ def common_ngrams(docs: DataFrame, width: int, least: int, most: int) -> tuple[i
     while n > most:
         p, k = by_size.pop()
         bound, n = 2 << p, n - k
-    keys = np.sort(np.array([r[0] for r in found.filter(F.col("k") >= bound).select("key").collect()], np.int64))
+    keys = np.sort(found.filter(F.col("k") >= bound).select("key").toArrow().column(0).to_numpy().astype(np.int64))
     drop_stored(found)
     release(spark)
     return bits, keys
 
 
-def ngram_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+class Order:
+    """The global order of n-grams: rare ones by hash, then common ones by hash."""
+
+    def __init__(self, docs: DataFrame, width: int, common: int) -> None:
+        self.bits, keys = common_ngrams(docs, width, common, MAX_COMMON)
+        self.keys = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def is_common(self, x: np.ndarray) -> np.ndarray:
+        keys = self.keys.value
+        if not len(keys):
+            return np.zeros(len(x), bool)
+        own = (x >> _U(32 - self.bits)).astype(np.int64)
+        return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+
+    def arranged(self, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """Sorted hashes in the order, and how many of them are rare."""
+        hot = self.is_common(x)
+        few = len(x) - int(hot.sum())
+        return (x if few == len(x) else np.concatenate([x[~hot], x[hot]])), few
+
+    def fragments(self, x: np.ndarray, few: int) -> np.ndarray:
+        """Where each fragment of arranged hashes starts, and their number."""
+        at = [np.searchsorted(part, np.arange(1, n, dtype=np.uint64) * _U(2**64 // n)) for part, n in ((x[:few], RARE_FRAGMENTS), (x[few:], COMMON_FRAGMENTS))]
+        return np.concatenate([[0], at[0], [few], few + at[1], [len(x)]]).astype(np.int64)
+
+
+def ngram_sets(docs: DataFrame, order: Order, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, th, n_shingles, set_id, rare, prefix, row) of each row, stored.
 
     th: hash of the text. set_id: hash of the whole n-gram set (null if empty); rows of one set_id hold equal sets. prefix: in
     the global order (rare n-grams by hash, then common ones), the first n - ceil(percent% of n) + 1: two linked
     sets share one of them. rare: how many n-grams of the set are rare.
     """
-    spark = docs.sparkSession
-    bits, keys = common_ngrams(docs, width, common, MAX_COMMON)
-    shared = spark.sparkContext.broadcast(keys)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -125,12 +149,8 @@ def ngram_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, comm
                         prefixes.append(np.empty(0, np.int64))
                         continue
                     ids.append(int(mix(np.array([mix(x).sum() + _U(n)], np.uint64)).view(np.int64)[0]))
-                    most, few = n - -(-percent * n // 100) + 1, n
-                    if len(hot):
-                        key = (x >> _U(32 - bits)).astype(np.int64)
-                        is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-                        if is_hot.any():
-                            x, few = np.concatenate([x[~is_hot], x[is_hot]]), n - int(is_hot.sum())
+                    most = n - -(-percent * n // 100) + 1
+                    x, few = order.arranged(x)
                     rare.append(few)
                     prefixes.append(_signed(x[:most]))
                 at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
@@ -151,15 +171,35 @@ def _sets_of(pairs: DataFrame) -> DataFrame:
     return stored(pairs.select(F.col("a").alias("set_id"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct(), "ngram-ids")
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs with sa and sb, and the sets (node, parts) in more than HOT pairs: their partners are dealt out over so many parts, so no task gets all of them."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").count()
+    hot = stored(ends.filter(F.col("count") > HOT).select("node", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "ngram-hot")
+    # keys are wrapped, so that both sides are dealt out for the join alone and a hot key can be split
+    side = lambda p: hot.select(F.concat(F.col("node").cast("string"), F.lit("")).alias(f"_{p}"), F.col("parts").alias(f"_p{p}"))
+    out = pairs.join(side("a"), F.col("a").cast("string") == F.col("_a"), "left").join(side("b"), F.col("b").cast("string") == F.col("_b"), "left")
+    salt = lambda p, other: F.pmod(F.xxhash64(other), F.coalesce(f"_p{p}", F.lit(1))).cast("int").alias(f"s{p}")
+    return out.select("a", "an", "b", "bn", salt("a", "b"), salt("b", "a")), hot
+
+
+def _copies(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """df (with set_id) with salt: rows of hot sets once for each part of their partners."""
+    out = df.join(hot, F.col("set_id") == F.col("node"), "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("node", "parts")
+
+
 def _still_possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, an, b, bn) those that the first fragment of the order, the rare prefixes, does not rule out; stored.
+    """Of the pairs (a, an, b, bn) those that their rare prefixes do not rule out; stored, with sa and sb.
 
     Up to the lesser of both prefixes' ends all shared n-grams are seen; beyond it at most as many as either set has left.
     """
     ids = _sets_of(pairs)
+    dealt, hot = _dealt(pairs)
     with bloom_joins(pairs.sparkSession):
         own = stored(firsts.join(ids.filter("n > 0"), "set_id", "left_semi").select("set_id", "prefix", "rare"), "ngram-own")
-    both = pairs.join(own.select(F.col("set_id").alias("a"), F.col("prefix").alias("x"), F.col("rare").alias("xr")), "a").join(own.select(F.col("set_id").alias("b"), F.col("prefix").alias("y"), F.col("rare").alias("yr")), "b")
+    own = _copies(own, hot)
+    side = lambda p, x: own.select(F.col("set_id").alias(p), F.col("salt").alias(f"s{p}"), F.col("prefix").alias(x), F.col("rare").alias(f"{x}r"))
+    both = dealt.join(side("a", "x"), ["a", "sa"]).join(side("b", "y"), ["b", "sb"])
 
     @F.arrow_udf("int")
     def bound(x: pa.Array, xr: pa.Array, y: pa.Array, yr: pa.Array, an: pa.Array, bn: pa.Array) -> pa.Array:
@@ -179,59 +219,71 @@ def _still_possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFr
         return pa.array(out)
 
     kept = both.withColumn("most", bound("x", "xr", "y", "yr", "an", "bn")).filter(F.col("most") * (100 + percent) >= percent * (F.col("an") + F.col("bn")))
-    return stored(kept.select("a", "an", "b", "bn"), "ngram-possible")
+    kept = stored(kept.select("a", "an", "b", "bn"), "ngram-possible")
+    drop_stored(ids, hot)
+    return kept
+
 
+def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order: Order, width: int) -> DataFrame:
+    """(set_id, fragment, head, grams) of the sets in pairs: their n-grams, cut where the fragments of the global order end; read again from one text of each set; stored.
 
-def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(set_id, fragment, grams) of the sets in pairs: their n-grams, cut by the top bits of the order; read again from one text of each set; stored."""
+    head: how many n-grams the first HEAD fragments hold. The first fragment of a set is always there, others if they aren't empty.
+    """
     ids = _sets_of(pairs)
     first = rows.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("n_shingles").alias("_n"))
     first = stored(first.select("set_id", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"), "_n"), "ngram-first")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     own = own.join(first.filter("_n > 0"), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
-    shift = _U(64 - FRAGMENTS.bit_length() + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids, frag, size, flat = [], [], [], []
+                ids, frag, head, size, flat = [], [], [], [], []
                 for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
-                    n = np.bincount((x >> shift).astype(np.int64), minlength=FRAGMENTS)
-                    k = np.flatnonzero((n > 0) | (np.arange(FRAGMENTS) == 0)).astype(np.int32)  # the first fragment always, be it empty
-                    n = n[k]
+                    x, few = order.arranged(x)
+                    at = order.fragments(x, few)
+                    n = np.diff(at)
+                    k = np.flatnonzero((n > 0) | (np.arange(len(n)) == 0)).astype(np.int32)
                     ids.append(np.full(len(k), i))
                     frag.append(k)
-                    size.append(n)
+                    head.append(np.full(len(k), at[HEAD], np.int32))
+                    size.append(n[k])
                     flat.append(_signed(x))
                 at = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(frag), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat)))], ["set_id", "fragment", "grams"])
+                columns = [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(frag), pa.int32()), pa.array(np.concatenate(head), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat)))]
+                yield pa.RecordBatch.from_arrays(columns, ["set_id", "fragment", "head", "grams"])
 
-    cuts = own.mapInArrow(cut, "set_id long, fragment int, grams array<long>")
+    cuts = own.mapInArrow(cut, "set_id long, fragment int, head int, grams array<long>")
     with bloom_joins(docs.sparkSession):  # few of the texts are wanted
-        return stored(cuts, "ngram-fragments")
+        cuts = stored(cuts, "ngram-fragments")
+    drop_stored(ids, first)
+    return cuts
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, an, b, bn) those that link: partial overlaps per fragment, summed per pair.
+    """Of the pairs (a, an, b, bn) those that link: partial overlaps counted in each fragment of the order, summed per pair.
 
-    The first fragment is counted alone; pairs that it rules out (what it shows as shared, and all that either set holds elsewhere, is too
+    The fragments before HEAD are counted first; pairs that they rule out (what they show as shared, and all that either set holds after them, is too
     little) don't meet in the others.
     """
     pair = ["a", "an", "b", "bn"]
+    last = RARE_FRAGMENTS + COMMON_FRAGMENTS
     enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
 
-    def parts(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-        left = fragments.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("x"))
-        right = fragments.select(F.col("set_id").alias("_b"), F.col("fragment").alias("_f"), F.col("grams").alias("y"))
-        both = pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & (F.col("fragment") == F.col("_f")))
-        out = both.select(*pair, "fragment", F.size(F.array_intersect("x", "y")).alias("part"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-        return out.groupBy(*pair, "fragment").agg(F.max("part").alias("part"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))  # rows repeated with id and text give a set's fragments twice
-
-    first = parts(pairs, fragments.filter("fragment = 0"))
-    first = stored(first.filter(enough(F.col("part") + F.least(F.col("an") - F.col("nx"), F.col("bn") - F.col("ny")))).select(*pair, "fragment", "part"), "ngram-part")
-    rest = parts(first.select(*pair), fragments.filter("fragment > 0")).select(*pair, "fragment", "part")
-    total = first.union(rest).groupBy(*pair).agg(F.sum("part").alias("overlap"))
+    def counted(pairs: DataFrame, lo: int, hi: int, *more: str) -> DataFrame:
+        dealt, hot = _dealt(pairs)
+        own = _copies(fragments.filter((F.col("fragment") >= lo) & (F.col("fragment") < hi)), hot)
+        left = own.select(F.col("set_id").alias("a"), F.col("salt").alias("sa"), "fragment", F.col("head").alias("xh"), F.col("grams").alias("x"))
+        right = own.select(F.col("set_id").alias("b"), F.col("salt").alias("sb"), "fragment", F.col("head").alias("yh"), F.col("grams").alias("y"))
+        parts = dealt.join(left, ["a", "sa"]).join(right, ["b", "sb", "fragment"]).select(*pair, "fragment", "xh", "yh", F.size(F.array_intersect("x", "y")).alias("part"))
+        # a maximum per fragment: rows repeated with id and text give a set's fragments twice
+        total = sum(F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("part"))), F.lit(0)) for f in range(lo, hi))
+        return parts.groupBy(*pair).agg(total.alias("overlap"), F.max("xh").alias("xh"), F.max("yh").alias("yh"))
+
+    first = counted(pairs, 0, HEAD).filter(enough(F.col("overlap") + F.least(F.col("an") - F.col("xh"), F.col("bn") - F.col("yh")))).select(*pair, "overlap")
+    first = stored(first, "ngram-part")
+    total = first.union(counted(first.select(*pair), HEAD, last).select(*pair, "overlap")).groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
     return total.filter(enough(F.col("overlap"))).select("a", "b", "overlap")
 
 
@@ -271,14 +323,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    sets = ngram_sets(docs, width, percent, common)
+    order = Order(docs, width, common)
+    sets = ngram_sets(docs, order, width, percent)
     rows = sets.drop("prefix", "rare")
     # one row of each set
     least = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("row").alias("row")).select("row")
     firsts = stored(sets.join(least, "row").select("set_id", F.col("n_shingles").cast("int").alias("n"), (F.col("n_shingles") - F.col("rare")).cast("int").alias("c"), "rare", "prefix"), "ngram-firsts")
     grams = firsts.select("set_id", "n", "c", F.posexplode("prefix").alias("pos", "gram"))
-    listed = grams.withColumn("k", F.count("*").over(Window.partitionBy("gram"))).filter("k > 1")
-    posts = stored(listed, "ngram-posts")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gram").alias("_g"), "k")
+    shared = stored(shared, "ngram-shared")
+    with bloom_joins(spark):  # most n-grams are in one set only, and go before they are shuffled
+        posts = stored(grams.join(shared, F.col("gram") == F.col("_g")).drop("_g"), "ngram-posts")
+    drop_stored(shared)
     rows = stored(rows.drop("row"), "ngram-rows")
     release(spark)
 
@@ -309,7 +365,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         turn += 1
         possible = _still_possible(tried[-1], firsts, percent)
         release(spark)
-        more = stored(_links(possible, _fragments(docs, rows, possible, width), percent), "ngram-links")
+        more = stored(_links(possible, _fragments(docs, rows, possible, order, width), percent), "ngram-links")
         release(spark)
         links = more if links is None else links.union(more)
         if turn == 1 or more.limit(1).count():
