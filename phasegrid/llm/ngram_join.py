@@ -19,7 +19,7 @@ WIDTH, PERCENT = 5, 75
 COMMON = 12
 MAX_COMMON = 1 << 20
 #: The global order is cut into so many fragments of rare n-grams, then so many of common ones; overlaps in the first HEAD rule pairs out.
-RARE_FRAGMENTS, COMMON_FRAGMENTS, HEAD = 8, 4, 4
+RARE_FRAGMENTS, COMMON_FRAGMENTS, HEAD = 4, 2, 2
 #: A set in more pairs than this meets its partners in several tasks.
 HOT = 64
 #: Posting lists of at most so many sets compare all pairs at once; longer ones go by pivots first.
