@@ -13,8 +13,12 @@ from phasegrid.llm.pii import redact
 from phasegrid.llm.quality_model import classify
 
 
+#: Pieces in a packed sequence.
+MOST_DOCS = 64
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on their weak labels, accepts."""
+    """Documents that the quality classifier, trained on their weak labels, accepts; null and empty texts go, repeated rows are judged alike, an empty table stays empty."""
     return classify(docs)[0].filter("quality_kept").select(*docs.columns)
 
 
@@ -28,11 +32,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = stored(members.select(*key, "component"), "members")
     first = members.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("_i", "_t")).alias("r")).select("r._i", "r._t")
     first = stored(first.union(members.filter(F.col("component").isNull()).select("_i", "_t")).distinct(), "first-of-groups")
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "_th": F.xxhash64("text")})
-    out = own.join(first, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi")
+    # the row goes along as a struct, so that no name of its columns can clash
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"))
+    out = own.join(first, (F.col("id") == F.col("_i")) & (F.col("th") == F.col("_t")), "left_semi")
     if members.groupBy("_i", "_t").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["_id", "_th"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["id", "th"])
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +47,13 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their sources' target weights ask for."""
+    """Documents as often as their sources' target weights ask for; null sources are one source, an empty table stays empty."""
     return mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Their token ids in sequences of at most 4096."""
-    return pack(stored(pieces(docs.select("doc_id", "text"), 4096), "pieces"), 4096)
+    """Their token ids in sequences of at most 4096, and of at most MOST_DOCS pieces; null and empty texts are one end mark, repeated rows repeated pieces."""
+    return pack(stored(pieces(docs.select("doc_id", "text"), 4096), "pieces"), 4096, most_docs=MOST_DOCS)
 
 
 STAGES = [
