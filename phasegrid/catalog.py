@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from phasegrid.plans import audits, crosssection, inference, panels, splits
+from phasegrid.plans import audits, certification, crosssection, inference, panels, splits
 
 
-_MODULES = (panels, crosssection, splits, inference, audits)
+_MODULES = (panels, crosssection, splits, inference, certification, audits)
 
 
 def flagship(spark, sf_dir: str):

@@ -132,53 +132,61 @@ def spearman(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
     return out.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 
-def bootstrap_by_prefix(x: np.ndarray, block: int, reps: int, seed: int) -> tuple[float, ...]:
-    """(estimate, low, high, p_two, p_gt0, p_lt0, n): moving blocks drawn at once, block sums from prefix sums; nulls for short series."""
-    x = x[np.isfinite(x)]
-    n = len(x)
-    if n < max(10, 2 * max(1, block)):
-        return (float(x.mean()) if n else None, None, None, None, None, None, n)
-    block = min(max(1, block), n)
-    blocks = -(-n // block)
-    last = n - (blocks - 1) * block
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    at = np.random.default_rng(seed).integers(0, n - block + 1, size=(reps, blocks))
-    sums = (total[at[:, :-1] + block] - total[at[:, :-1]]).sum(1) + total[at[:, -1] + last] - total[at[:, -1]]
-    means = sums / n
-    low, high = np.quantile(means, [0.025, 0.975])
-    gt, lt = ((1 + np.sum(s)) / (reps + 1) for s in (means <= 0, means >= 0))
-    return (float(x.mean()), float(low), float(high), float(min(1.0, 2 * min(gt, lt))), float(gt), float(lt), n)
-
-
-def bootstrap_one_sided(x: np.ndarray, reps: int, seed: int) -> tuple[float, ...]:
-    """(estimate, low, high, None, None, p_lt0, n) with blocks of about the cube root of n; a single value has no spread."""
-    x = x[np.isfinite(x)]
-    n = len(x)
-    if n == 0:
-        return (None, None, None, None, None, None, 0)
-    if n == 1:
-        v = float(x[0])
-        return (v, v, v, None, None, 1.0 if v >= 0 else 0.5, 1)
-    block = min(max(5, round(n ** (1 / 3))), n)
-    at = np.random.default_rng(seed).integers(0, n - block + 1, size=(reps, -(-n // block)))
-    means = x[(at[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]].mean(1)
-    low, high = np.quantile(means, [0.025, 0.975])
-    return (float(x.mean()), float(low), float(high), None, None, float((1 + np.sum(means >= 0)) / (reps + 1)), n)
+#: Draws are integers modulo this prime, mixed by squares; all products fit 64 bits, so any engine draws the same.
+PRIME, MIX, STEP = 2_147_483_647, (48_271, 69_621), (1_000_003, 7_919)
 
 
-def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, seed: Column, block: int | None) -> DataFrame:
-    """Block bootstrap of the mean of a daily series for each key; block: its length, or None for the one-sided variant. A group is one series of daily means."""
-    columns = ["estimate", "ci_lo", "ci_hi", "p_two", "p_gt0", "p_lt0", "n_dates"]
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, s = pdf[value].to_numpy(float), int(pdf["_seed"].iloc[0])
-        got = bootstrap_one_sided(x, reps, s) if block is None else bootstrap_by_prefix(x, block, reps, s)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *got]], columns=[*keys, *columns])
-
-    kinds = dict(days.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in columns[:-1]), "n_dates long"])
-    return days.withColumn("_seed", seed).groupBy(*keys).applyInPandas(run, schema)
+
+def draw(seed: Column, rep: Column, block: Column) -> Column:
+    """A pseudo-random integer below PRIME for each (seed, rep, block)."""
+    x = (seed + STEP[0] * (rep + 1) + STEP[1] * (block + 1)) % PRIME
+    mixed = lambda v, a: (v * v % PRIME * a + v + a) % PRIME
+    return bound(bound(x.cast("long"), lambda v: mixed(v, MIX[0])), lambda v: mixed(v, MIX[1]))
+
+
+def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, seed: Column, block: int | None) -> DataFrame:
+    """(keys, estimate, ci_lo, ci_hi, p_two, p_gt0, p_lt0, n_dates): moving-block bootstrap of the mean of a daily series for each key.
+
+    block: its length; then series shorter than 10 or than two blocks get an estimate only. None: about the cube root of the series, 5 at least, for
+    any length; a single value is its own interval; only p_lt0. A resample's mean adds up blocks as differences of the series' running sum; p-values
+    count resamples on the wrong side, itself included. All in built-in expressions; a row holds one series of daily means. Null days are left out.
+    """
+    series = days.filter(F.col(value).isNotNull()).withColumn("_seed", seed.cast("long"))
+    w = Window.partitionBy(*keys).orderBy("date")
+    series = series.withColumn("_c", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "_c"))).alias("_l"), F.avg(value).alias("estimate"), F.count("*").alias("n_dates"), F.max("_seed").alias("_seed"))
+    n = F.col("n_dates")
+    size = F.lit(max(1, block)) if block is not None else F.greatest(F.lit(5), F.round(F.pow(n, F.lit(1.0 / 3.0))))
+    g = g.withColumn("_b", F.least(size.cast("long"), n)).withColumn("_k", F.ceil(n / F.col("_b")))
+    run = F.concat(F.array(F.lit(0.0)), F.transform("_l", lambda x: x["_c"]))
+    g = g.withColumns({"_run": run, "_last": n - (F.col("_k") - 1) * F.col("_b")})
+
+    def mean(r: Column) -> Column:
+        def add(acc: Column, j: Column) -> Column:
+            size = F.when(j == F.col("_k") - 1, F.col("_last")).otherwise(F.col("_b"))
+            return bound((draw(F.col("_seed"), r, j) % (n - F.col("_b") + 1)).cast("int"), lambda at: acc + F.get("_run", (at + size).cast("int")) - F.get("_run", at))
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), F.lit(0.0), add) / n
+
+    enough = n >= (max(10, 2 * block) if block is not None else 2)
+    g = g.withColumn("_m", F.when(enough, F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), mean))))
+
+    def quantile(p: float) -> Column:
+        at = (reps - 1) * p
+        lo, hi = F.get("_m", F.lit(int(at))), F.get("_m", F.lit(min(int(at) + 1, reps - 1)))
+        return lo + (hi - lo) * (at - int(at))
+
+    share = lambda wrong: F.when(F.col("_m").isNotNull(), (1 + F.size(F.filter("_m", wrong))) / (reps + 1.0))
+    g = g.withColumns({"ci_lo": quantile(0.025), "ci_hi": quantile(0.975), "p_gt0": share(lambda m: m <= 0), "p_lt0": share(lambda m: m >= 0)})
+    if block is None:
+        one = lambda c, x: F.when(n == 1, x).otherwise(F.col(c))
+        g = g.withColumns({"ci_lo": one("ci_lo", F.col("estimate")), "ci_hi": one("ci_hi", F.col("estimate")), "p_lt0": one("p_lt0", F.when(F.col("estimate") >= 0, 1.0).otherwise(0.5)), "p_gt0": F.lit(None).cast("double")})
+    g = g.withColumn("p_two", F.when(F.col("p_gt0").isNotNull(), F.least(F.lit(1.0), 2 * F.least("p_gt0", "p_lt0"))))
+    return g.select(*keys, "estimate", "ci_lo", "ci_hi", "p_two", "p_gt0", "p_lt0", "n_dates")
 
 
 def cluster_roots(roots: DataFrame, width: float = 0.06) -> DataFrame:

@@ -13,13 +13,15 @@ from phasegrid.sources.tables import canonical_ticker, html_rows, table
 
 
 def universes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two universes of tickers with a class: customers' names by segment, of even and of low keys."""
+    """Two universes of tickers with a class: names and segments of the customers with orders before 1998, and of those with orders from then on."""
     c = table(spark, sf_dir, "customer").select(canonical_ticker(F.col("c_name")).alias("ticker"), F.col("c_mktsegment").alias("asset_class"), "c_custkey")
-    return c.filter("c_custkey % 2 = 0").drop("c_custkey"), c.filter("c_custkey % 3 = 0").drop("c_custkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate")
+    of = lambda when: c.join(o.filter(when), "c_custkey", "left_semi").drop("c_custkey")
+    return of(F.col("o_orderdate") < "1998-01-01"), of(F.col("o_orderdate") >= "1998-01-01")
 
 
 _U = """WITH c AS (SELECT replace(upper(trim(c_name)), '.', '-') AS ticker, c_mktsegment AS asset_class, c_custkey FROM customer),
-a AS (SELECT ticker, asset_class FROM c WHERE c_custkey % 2 = 0), b AS (SELECT ticker, asset_class FROM c WHERE c_custkey % 3 = 0)"""
+a AS (SELECT ticker, asset_class FROM c WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')), b AS (SELECT ticker, asset_class FROM c WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'))"""
 
 
 def metadata(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -143,7 +145,7 @@ ORACLES = {
     "grid_spacing": f"{_GRID}, h AS (SELECT lead(horizon) OVER (ORDER BY horizon) - horizon AS step FROM (SELECT DISTINCT horizon FROM grid)) SELECT median(step)::DOUBLE AS median_step, min(step) AS min_step, count(*) AS n FROM h",
     "text_flags": "WITH o AS (SELECT lower(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' Yes ' WHEN o_orderkey % 3 = 1 THEN 'PASS' ELSE o_orderstatus END)) AS f FROM orders) SELECT f, bool_or(f IN ('true', '1', 'yes', 'y')) AS plain, bool_or(f IN ('true', '1', 'yes', 'y', 'pass', 'r')) AS wide, count(*) AS n FROM o GROUP BY 1",
     "symbol_forms": "WITH p AS (SELECT DISTINCT upper(substr(p_brand, 1, 1)) || '.' || split_part(p_brand, '#', -1) AS raw FROM part) SELECT raw, replace(raw, '.', '-') AS us, raw AS kept, lpad(split_part(raw, '.', -1), 4, '0') AS code FROM p",
-    "html_cells": "WITH c AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '<(?:p|li|td)[^>]*>([^<]{1,200})</', 1)), ' ') AS cell FROM pages) SELECT page_id, count(*) AS n_cells, max(length(cell))::INT AS longest FROM c WHERE cell <> '' GROUP BY 1",
+    "html_cells": "WITH c AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '<(?:p|li|td)[^>]*>([^<]+)</', 1)), ' ') AS cell FROM pages) SELECT page_id, count(*) AS n_cells, max(length(cell))::INT AS longest FROM c WHERE cell <> '' GROUP BY 1",
     "class_control_medians": _P(" SELECT asset_class, round(median(vol20), 6) AS vol20, round(median(range20), 6) AS range20, round(median(log_dollar_volume20), 6) AS log_dollar_volume20 FROM panel GROUP BY 1"),
     "horizon_tail_summary": f"{_GRID} SELECT return_mode, horizon, round(avg(est), 8) AS mean, round(stddev_samp(est), 8) AS sd, sum(n)::BIGINT AS n_obs, round(min(p), 8) AS p_min, round(median(p), 8) AS p_median, round(max(p), 8) AS p_max FROM grid WHERE horizon >= 30 GROUP BY 1, 2",
     "metadata_join": "SELECT r_name AS sector, count(*) AS n, round(avg(s_acctbal), 6) AS mean_balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",

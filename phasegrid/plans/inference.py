@@ -10,6 +10,7 @@ from phasegrid.operators import crosssection as xs
 from phasegrid.operators import inference as inf
 from phasegrid.operators import models, splits
 from phasegrid.oracles.base import with_panel
+from phasegrid.oracles.bootstrap import bootstrap_sql
 from phasegrid.plans.crosssection import _BIN, _Q, _ROBUST, _edges, cells
 from phasegrid.plans.panels import KEY, panel, rounded
 from phasegrid.sources.tables import table
@@ -134,7 +135,7 @@ def _certified_tails(s, d):
 def _boot(block):
     def run(s, d):
         seed = F.lit(SEED) + 1000 * F.col("horizon") + 10 * F.col("band")
-        return inf.bootstrap(_tail_days(s, d), ("return_mode", "horizon", "band"), "day_mean", 500, seed, block)
+        return inf.bootstrap(_tail_days(s, d), ("return_mode", "horizon", "band"), "day_mean", 200, seed, block)
 
     return run
 
@@ -168,8 +169,8 @@ QUERIES = {
     "spearman_ranks": lambda s, d: rounded(inf.spearman(panel(s, d), ("return_mode", "horizon"), "psi_primary", "phase_product")),
     "datewise_pair_delta": _datewise,
     "tail_cert_estimates": _certified_tails,
-    "bootstrap_ci_a": _boot(21),
-    "bootstrap_ci_b": _boot(None),
+    "bootstrap_ci_a": lambda s, d: rounded(_boot(21)(s, d)),
+    "bootstrap_ci_b": lambda s, d: rounded(_boot(None)(s, d)),
     "root_clusters": _clusters,
     "isotonic_boundary": lambda s, d: models.isotonic_boundaries(panel(s, d).persist()),
     "logistic_designs": lambda s, d: models.logistic_designs(panel(s, d).persist()),
@@ -188,7 +189,17 @@ _NEXT = "(PARTITION BY return_mode ORDER BY horizon ROWS BETWEEN CURRENT ROW AND
 _ONSET = f"""{_FLAGS}, f1 AS (SELECT *, bool_and(is_r) OVER {_NEXT} AND count(*) OVER {_NEXT} = 2 AS run, avg(is_r::INT) OVER {_TAIL} AS tail_fraction, bool_or(is_m) OVER {_TAIL} AS any_m, lag(horizon) OVER (PARTITION BY return_mode ORDER BY horizon) AS lo FROM fl)"""
 _TON = f"{_ONSET}, onset AS (SELECT return_mode, min(horizon) FILTER (run AND tail_fraction >= 0.4) AS hc_grid FROM f1 GROUP BY 1)"
 
+_TAILS = f"""{_ROBUST}, td AS (SELECT return_mode, horizon, CASE WHEN q_psi < 0.925::DOUBLE THEN 0 ELSE 1 END AS band, date, avg(phase_product_robust) AS m FROM cells WHERE q_psi >= 0.85::DOUBLE GROUP BY 1, 2, 3, 4)"""
+
+
+def _boot_sql(block: int | None) -> str:
+    columns = ", ".join(f"round({c}, 6) AS {c}" for c in ("estimate", "ci_lo", "ci_hi", "p_two", "p_gt0", "p_lt0"))
+    return _P(f"{_TAILS}{bootstrap_sql('td', 'return_mode, horizon, band', 'm', f'{SEED} + 1000 * horizon + 10 * band', 200, block)} SELECT return_mode, horizon, band, {columns}, n_dates FROM bs")
+
+
 ORACLES = {
+    "bootstrap_ci_a": _boot_sql(21),
+    "bootstrap_ci_b": _boot_sql(None),
     "holm_adjusted": f"{_GRID}, a AS (SELECT *, (count(p) OVER ({_FAM}) - row_number() OVER {_UP} + 1) * p AS a FROM grid) SELECT return_mode, fold, horizon, CASE WHEN p IS NOT NULL THEN round(least(1.0, max(a) OVER ({_FAM} ORDER BY p NULLS LAST, horizon ROWS UNBOUNDED PRECEDING)), 8) END AS p_holm FROM a",
     "holm_stepdown": f"{_GRID}, a AS (SELECT *, coalesce(p <= 0.9::DOUBLE / (count(*) OVER ({_FAM}) - row_number() OVER {_UP} + 1), false) AS ok FROM grid) SELECT return_mode, fold, horizon, bool_and(ok) OVER ({_FAM} ORDER BY p NULLS LAST, horizon ROWS UNBOUNDED PRECEDING) AS passes FROM a",
     "holm_null_as_one": f"{_GRID}, q AS (SELECT * REPLACE (coalesce(p, 1.0::DOUBLE) AS p) FROM grid), a AS (SELECT *, (count(p) OVER ({_FAM}) - row_number() OVER {_UP} + 1) * p AS a FROM q) SELECT return_mode, fold, horizon, round(least(1.0, max(a) OVER ({_FAM} ORDER BY p, horizon ROWS UNBOUNDED PRECEDING)), 8) AS p_holm FROM a",

@@ -111,6 +111,6 @@ def write_panel(panel: DataFrame, path: str) -> None:
     panel.repartition("return_mode", "horizon", F.pmod(F.xxhash64("ticker"), F.lit(64))).sortWithinPartitions("date").write.mode("overwrite").partitionBy("return_mode", "horizon").parquet(path)
 
 
-def html_rows(pages: DataFrame, pattern: str = r"<(?:p|li|td)[^>]*>([^<]{1,200})</") -> DataFrame:
+def html_rows(pages: DataFrame, pattern: str = r"<(?:p|li|td)[^>]*>([^<]+)</") -> DataFrame:
     """(page_id, place, cell): cells of web pages by pattern."""
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("place", "cell")).withColumn("cell", F.trim("cell")).filter("cell <> ''")

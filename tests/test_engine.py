@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.config import PanelConfig
 from phasegrid.functions import protocol as pr
+from phasegrid.operators import certification as cert
 from phasegrid.operators import crosssection as xs
 from phasegrid.operators import inference as inf
 from phasegrid.operators import models, series, splits
@@ -102,18 +103,65 @@ def test_splits(spark):
     assert len(sample()) == 50 and sample() == sample()
 
 
-def test_bootstraps():
-    x = np.random.default_rng(1).normal(-0.3, 1, 300)
-    a, b = inf.bootstrap_by_prefix(x, 8, 400, 5), inf.bootstrap_one_sided(x, 400, 5)
-    assert a == inf.bootstrap_by_prefix(x, 8, 400, 5)
-    for est, lo, hi, *_ in (a, b):
-        assert lo < est < hi < 0
-    assert a[5] <= 0.05 and b[5] <= 0.05 and inf.bootstrap_by_prefix(x[:5], 8, 10, 1)[1] is None
-    # the loop over draws gives the same means as prefix sums
-    rng = np.random.default_rng(5)
-    at = rng.integers(0, 293, size=(400, 38))
-    means = [np.concatenate([x[s : s + 8] for s in r])[:300].mean() for r in at]
-    np.testing.assert_allclose(np.quantile(means, [0.025, 0.975]), a[1:3])
+def brute_means(x, block, reps, seed):
+    """Means of resamples by joining blocks, with the operator's draws."""
+    n, means = len(x), []
+    for r in range(reps):
+        parts = []
+        for j in range(-(-n // block)):
+            v = (seed + inf.STEP[0] * (r + 1) + inf.STEP[1] * (j + 1)) % inf.PRIME
+            for m in inf.MIX:
+                v = (v * v % inf.PRIME * m + v + m) % inf.PRIME
+            parts.append(x[v % (n - block + 1) :][:block])
+        means.append(np.concatenate(parts)[:n].mean())
+    return np.array(means)
+
+
+def test_bootstraps(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(-0.3, 1, 300)
+    rows = [("a", d, float(v)) for d, v in zip(DAYS, x, strict=False)] + [("b", DAYS[i], -1.0) for i in range(5)] + [("c", DAYS[0], 2.0), ("d", DAYS[0], None), ("d", DAYS[1], 0.5)]
+    days = spark.createDataFrame(rows, "k string, date date, v double")
+    one = {r.k: r for r in inf.bootstrap(days, ("k",), "v", 400, F.lit(5), 8).collect()}
+    two = {r.k: r for r in inf.bootstrap(days, ("k",), "v", 400, F.lit(5), None).collect()}
+    for got, block in ((one["a"], 8), (two["a"], 7)):
+        means = brute_means(x, block, 400, 5)
+        np.testing.assert_allclose([got.estimate, got.ci_lo, got.ci_hi], [x.mean(), *np.quantile(means, [0.025, 0.975])], rtol=1e-9)
+        assert got.ci_lo < got.estimate < got.ci_hi < 0 and got.p_lt0 == (1 + (means >= 0).sum()) / 401 and got.n_dates == 300
+        # as wide as independent draws make it
+        free = [np.concatenate([x[s : s + block] for s in r])[:300].mean() for r in rng.integers(0, 301 - block, size=(2000, -(-300 // block)))]
+        assert abs(got.ci_hi - got.ci_lo - np.subtract(*np.quantile(free, [0.975, 0.025]))) < 0.04
+    assert one["a"].p_two == 2 * one["a"].p_lt0 and two["a"].p_two is None
+    assert one["b"].ci_lo is None and one["b"].p_lt0 is None and one["b"].estimate == -1.0
+    assert (two["b"].ci_lo, two["b"].p_lt0) == (-1.0, 1 / 401) and (two["c"].ci_lo, two["c"].p_lt0) == (2.0, 1.0) and two["d"].n_dates == 1
+
+
+def tail_panel(spark, sign=-1.0):
+    """8 tickers, 180 days, two modes: all reverse from horizon 105 on."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for mode in ("market_residual", "raw"):
+        for h in (63, 84, 105, 112, 126):
+            for d in DAYS[:180]:
+                for i in range(8):
+                    rows.append((mode, h, d, f"T{i}", float(i), float((sign if h >= 105 else -sign) * 0.4 + rng.normal(0, 0.05))))
+    return spark.createDataFrame(rows, "return_mode string, horizon int, date date, ticker string, psi_primary double, phase_product double")
+
+
+def test_tail_certification_end_to_end(spark):
+    cells = xs.with_robust_response(xs.with_percentile(tail_panel(spark))).persist()
+    bands = cert.tail_bands(cells, 0.75, 7, 100, rows=20, dates=20)
+    folds = cert.certified_folds(bands)
+    got = {(r.return_mode, r.fold, r.horizon): r for r in folds.collect()}
+    assert len(got) == 2 * 4 * 5 and all(r.eligible for r in got.values())
+    assert all(r.certified == (h >= 105) == r.passes for (_, _, h), r in got.items())
+    regimes = cert.regimes(folds)
+    onsets = inf.tail_onset(regimes, ("return_mode",), [63, 84, 105, 112, 126], "certified_tail")
+    assert {r.return_mode: r.hc_grid for r in onsets.collect()} == {"market_residual": 105, "raw": 105}
+    assert cert.disagreements(folds).filter("NOT same").count() == 0
+    few = cert.certified_folds(cert.tail_bands(cells, 0.75, 7, 100))
+    assert few.filter("eligible OR certified").count() == 0 and few.filter("p IS NULL").count() == 0
+    cells.unpersist()
 
 
 def test_roots_clusters_metrics(spark):
