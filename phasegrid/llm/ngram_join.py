@@ -225,36 +225,31 @@ def _still_possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFr
 
 
 def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order: Order, width: int) -> DataFrame:
-    """(set_id, fragment, head, grams) of the sets in pairs: their n-grams, cut where the fragments of the global order end; read again from one text of each set; stored.
-
-    head: how many n-grams the first HEAD fragments hold. The first fragment of a set is always there, others if they aren't empty.
-    """
+    """(set_id, front, back) of the sets in pairs: their n-grams, an array for each of the first HEAD fragments of the global order and for each of the others; read again from one text of each set; stored."""
     ids = _sets_of(pairs)
     first = rows.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("n_shingles").alias("_n"))
     first = stored(first.select("set_id", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"), "_n"), "ngram-first")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     own = own.join(first.filter("_n > 0"), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
 
+    last = RARE_FRAGMENTS + COMMON_FRAGMENTS
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids, frag, head, size, flat = [], [], [], [], []
-                for i, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
+                ids, ends, flat = part.column(0), [np.zeros(1, np.int64)], []
+                for x in shingle_sets(part.column(1), width):
                     x, few = order.arranged(x)
-                    at = order.fragments(x, few)
-                    n = np.diff(at)
-                    k = np.flatnonzero((n > 0) | (np.arange(len(n)) == 0)).astype(np.int32)
-                    ids.append(np.full(len(k), i))
-                    frag.append(k)
-                    head.append(np.full(len(k), at[HEAD], np.int32))
-                    size.append(n[k])
+                    ends.append(ends[-1][-1] + order.fragments(x, few)[1:])
                     flat.append(_signed(x))
-                at = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
-                columns = [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(frag), pa.int32()), pa.array(np.concatenate(head), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat)))]
-                yield pa.RecordBatch.from_arrays(columns, ["set_id", "fragment", "head", "grams"])
+                grams, at = pa.array(np.concatenate(flat)), np.concatenate(ends).astype(np.int32)
+                inner = pa.ListArray.from_arrays(pa.array(at), grams)
+                each = np.arange(part.num_rows, dtype=np.int32)[:, None] * last
+                take = lambda lo, hi: pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (hi - lo)), inner.take(pa.array((each + np.arange(lo, hi, dtype=np.int32)).reshape(-1))))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([ids, take(0, HEAD), take(HEAD, last)], ["set_id", "front", "back"])
 
-    cuts = own.mapInArrow(cut, "set_id long, fragment int, head int, grams array<long>")
+    cuts = own.mapInArrow(cut, "set_id long, front array<array<long>>, back array<array<long>>")
     with bloom_joins(docs.sparkSession):  # few of the texts are wanted
         cuts = stored(cuts, "ngram-fragments")
     drop_stored(ids, first)
@@ -264,26 +259,25 @@ def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order: Order,
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, an, b, bn) those that link: partial overlaps counted in each fragment of the order, summed per pair.
 
-    The fragments before HEAD are counted first; pairs that they rule out (what they show as shared, and all that either set holds after them, is too
+    The first HEAD fragments are counted first; pairs that they rule out (what they show as shared, and all that either set holds after them, is too
     little) don't meet in the others.
     """
     pair = ["a", "an", "b", "bn"]
-    last = RARE_FRAGMENTS + COMMON_FRAGMENTS
     enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
+    size = lambda fragments: F.aggregate(fragments, F.lit(0), lambda n, f: n + F.size(f))
 
-    def counted(pairs: DataFrame, lo: int, hi: int, *more: str) -> DataFrame:
+    def counted(pairs: DataFrame, some: str) -> DataFrame:
         dealt, hot = _dealt(pairs)
-        own = _copies(fragments.filter((F.col("fragment") >= lo) & (F.col("fragment") < hi)), hot)
-        left = own.select(F.col("set_id").alias("a"), F.col("salt").alias("sa"), "fragment", F.col("head").alias("xh"), F.col("grams").alias("x"))
-        right = own.select(F.col("set_id").alias("b"), F.col("salt").alias("sb"), "fragment", F.col("head").alias("yh"), F.col("grams").alias("y"))
-        parts = dealt.join(left, ["a", "sa"]).join(right, ["b", "sb", "fragment"]).select(*pair, "fragment", "xh", "yh", F.size(F.array_intersect("x", "y")).alias("part"))
-        # a maximum per fragment: rows repeated with id and text give a set's fragments twice
-        total = sum(F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("part"))), F.lit(0)) for f in range(lo, hi))
-        return parts.groupBy(*pair).agg(total.alias("overlap"), F.max("xh").alias("xh"), F.max("yh").alias("yh"))
-
-    first = counted(pairs, 0, HEAD).filter(enough(F.col("overlap") + F.least(F.col("an") - F.col("xh"), F.col("bn") - F.col("yh")))).select(*pair, "overlap")
+        own = _copies(fragments.select("set_id", some), hot)
+        left = own.select(F.col("set_id").alias("a"), F.col("salt").alias("sa"), F.col(some).alias("x"))
+        right = own.select(F.col("set_id").alias("b"), F.col("salt").alias("sb"), F.col(some).alias("y"))
+        parts = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
+        both = dealt.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select(*pair, F.aggregate(parts, F.lit(0), lambda n, k: n + k).alias("overlap"), size(F.col("x")).alias("nx"), size(F.col("y")).alias("ny"))
+        return both.distinct()  # rows repeated with id and text give a set's fragments twice
+
+    first = counted(pairs, "front").filter(enough(F.col("overlap") + F.least(F.col("an") - F.col("nx"), F.col("bn") - F.col("ny")))).select(*pair, "overlap")
     first = stored(first, "ngram-part")
-    total = first.union(counted(first.select(*pair), HEAD, last).select(*pair, "overlap")).groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
+    total = first.union(counted(first.select(*pair), "back").select(*pair, "overlap")).groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
     return total.filter(enough(F.col("overlap"))).select("a", "b", "overlap")
 
 
