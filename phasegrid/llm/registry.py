@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phasegrid.llm import mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, tandem_runs, token_counts, topk_search, url_filter, warc
+from phasegrid.llm import lexical_search, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, tandem_runs, token_counts, topk_search, url_filter, warc
 
-_MODULES = (mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, tandem_runs, token_counts, topk_search, url_filter, warc)
+_MODULES = (lexical_search, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, tandem_runs, token_counts, topk_search, url_filter, warc)
 
 
 def queries() -> dict:
