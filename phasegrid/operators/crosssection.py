@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.config import HUBER_C, MAD_SCALE, QUANTILES
+from phasegrid.operators.ranks import exact_quantiles
 
 CELL = ("return_mode", "date", "horizon")
 
@@ -32,11 +33,16 @@ def with_robust_response(panel: DataFrame, value: str = "phase_product", keys: t
     return out.withColumns({"phase_product_robust": F.col("med") + F.greatest(F.least(off, cap), -cap), "was_clipped": F.abs(off) > cap}).drop("_mad", "_sd")
 
 
+def date_weights(panel: DataFrame, keys: tuple[str, ...] = ("return_mode", "horizon")) -> DataFrame:
+    """(keys, date, weight): 1 / rows of the date, scaled to mean 1 over the rows of keys, which is dates / rows. A row a day."""
+    days = panel.groupBy(*keys, "date").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*keys)
+    return days.select(*keys, "date", (F.sum("_k").over(w) / F.count("*").over(w) / F.col("_k")).alias("weight"))
+
+
 def with_date_weight(panel: DataFrame, keys: tuple[str, ...] = ("return_mode", "horizon")) -> DataFrame:
-    """panel with weight = 1 / rows of the date, scaled to mean 1 within keys."""
-    raw = 1.0 / F.count("*").over(Window.partitionBy(*keys, "date"))
-    out = panel.withColumn("_w", raw)
-    return out.withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy(*keys))).drop("_w")
+    """panel with its date weights. Those are a row a day and key, which bounds their broadcast; panel is scanned twice, so it should be stored."""
+    return panel.join(F.broadcast(date_weights(panel, keys)), [*keys, "date"])
 
 
 def weighted_moments(df: DataFrame, value: str, weight: str, keys: tuple[str, ...]) -> DataFrame:
@@ -72,14 +78,15 @@ def equal_date_mean(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFra
 
 def quantile_table(panel: DataFrame, value: str = "psi_primary", keys: tuple[str, ...] = ("return_mode", "horizon")) -> DataFrame:
     """n, mean, sd and exact, linearly interpolated quantiles."""
-    out = panel.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*map(F.lit, QUANTILES))).alias("_q"))
+    out = panel.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    out = out.join(exact_quantiles(panel, value, QUANTILES, keys, "_q").drop("n"), list(keys), "left")
     return out.select(*keys, "n", "mean", "sd", *(F.get("_q", F.lit(i)).alias(f"q{round(100 * x):02d}") for i, x in enumerate(QUANTILES)))
 
 
 def bin_edges(df: DataFrame, value: str, bins: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, edges): inner edges at equal shares of df's values, a row for each key."""
-    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile(value, shares)).alias("edges"))
+    q = exact_quantiles(df, value, [i / bins for i in range(1, bins)], keys, "_q")
+    return q.select(*keys, F.array_distinct("_q").alias("edges"))
 
 
 def with_bin(df: DataFrame, edges: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:

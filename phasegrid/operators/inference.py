@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.operators.crosssection import average_rank
+from phasegrid.operators.ranks import running_sums, value_ranks
 
 
 def holm_adjusted(df: DataFrame, family: tuple[str, ...], p: str = "p", order: tuple[str, ...] = ("horizon",), out: str = "p_holm") -> DataFrame:
@@ -110,11 +110,10 @@ def tail_guard(grid: DataFrame, keys: tuple[str, ...], start: int, least: float
 
 
 def auc(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: str) -> DataFrame:
-    """Weighted area under the ROC curve, ties half; null if one class is missing."""
-    each = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0.5, F.col(weight)).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) > 0.5, 0.0).otherwise(F.col(weight))).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0.0)))
-    return each.groupBy(*keys).agg((F.sum(F.col("_p") * (F.col("_b") + 0.5 * F.col("_n"))) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auc"))
+    """Weighted area under the ROC curve, ties half; null if one class is missing. Scores are summed by value and by ranges of values."""
+    up = F.col(label) > 0.5
+    each = running_sums(df, keys, score, {"p": F.when(up, F.col(weight)).otherwise(0.0), "n": F.when(up, 0.0).otherwise(F.col(weight))})
+    return each.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def score_metrics(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: str) -> DataFrame:
@@ -128,7 +127,9 @@ def score_metrics(df: DataFrame, keys: tuple[str, ...], score: str, label: str,
 
 
 def spearman(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
-    out = df.withColumns({"_rx": average_rank(x, keys), "_ry": average_rank(y, keys)})
+    """Correlation of average ranks over rows that have both values; ranks come from ranges of values."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    out = both.join(value_ranks(both, keys, x, "_rx"), [*keys, x]).join(value_ranks(both, keys, y, "_ry"), [*keys, y])
     return out.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 

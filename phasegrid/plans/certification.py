@@ -12,8 +12,8 @@ from phasegrid.operators import inference as inf
 from phasegrid.operators import splits
 from phasegrid.oracles.base import with_panel
 from phasegrid.oracles.bootstrap import bootstrap_sql
-from phasegrid.plans.crosssection import _Q, _ROBUST, cells
-from phasegrid.plans.panels import KEY, panel, rounded
+from phasegrid.plans.crosssection import _Q, _ROBUST
+from phasegrid.plans.panels import KEY, cells, panel, rounded
 from phasegrid.plans.splits import _WF
 
 Q0, REPS, ALPHA = 0.6, 200, 0.5
@@ -77,7 +77,7 @@ def _effect(s, d):
 
 def fold_curves(s, d):
     """(return_mode, fold, horizon, bin, mean, n): test rows of each walk-forward fold in 20 bins of percentile."""
-    c = xs.with_percentile(panel(s, d))
+    c = cells(s, d)
     rows = splits.fold_rows(c, splits.walkforward_folds(c), max(SMALL.horizons)).filter("part = 'test'")
     n = F.greatest(F.ceil(F.round(F.col("q_psi") * 20, 9)) - 1, F.lit(0)).cast("int")
     return rows.withColumn("bin", n).groupBy("return_mode", "fold", "horizon", "bin").agg(F.avg("phase_product").alias("mean"), F.count("*").alias("n"))

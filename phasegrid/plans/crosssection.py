@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from phasegrid.config import HUBER_C, MAD_SCALE, QUANTILES, SMALL
 from phasegrid.operators import crosssection as xs
 from phasegrid.oracles.base import with_panel
-from phasegrid.plans.panels import KEY, panel, rounded
-
-
-def cells(spark: SparkSession, sf_dir: str, key: str = KEY) -> DataFrame:
-    """The panel with percentiles and robust responses."""
-    return xs.with_robust_response(xs.with_percentile(panel(spark, sf_dir, key)))
+from phasegrid.plans.panels import KEY, cells, panel, rounded
 
 
 def tail_daily_mean(spark: SparkSession, sf_dir: str, key: str = KEY, q0: float = 0.85) -> DataFrame:
@@ -33,7 +28,7 @@ def _sector(s, d):
 
 def _quantile_curve(s, d):
     """Training rows set the edges of 30 bins; later ones fill them."""
-    p = panel(s, d).persist()
+    p = panel(s, d)
     keys = ("return_mode", "horizon")
     edges = xs.bin_edges(p.filter(F.col("date") < "1999-01-01"), "psi_primary", 30, keys)
     test = xs.with_bin(p.filter(F.col("date") >= "1999-01-01"), edges, "psi_primary", keys)
@@ -42,14 +37,14 @@ def _quantile_curve(s, d):
 
 def _pivot(s, d):
     """Share of momentum by psi bin (20, over all horizons) and horizon."""
-    p = panel(s, d).persist()
+    p = panel(s, d)
     edges = xs.bin_edges(p, "psi_primary", 20, ("return_mode",))
     out = xs.with_bin(p, edges, "psi_primary", ("return_mode",)).groupBy("return_mode", "bin").pivot("horizon", list(SMALL.horizons)).agg(F.avg("phase_label"))
     return rounded(out.toDF("return_mode", "bin", *(f"h{h}" for h in SMALL.horizons)))
 
 
 def _distance(s, d):
-    c = xs.with_percentile(panel(s, d)).persist()
+    c = cells(s, d)
     half = lambda when: xs.equal_width_curve(c.filter(when))
     return rounded(xs.curve_distance(half(F.col("date") < "1999-01-01"), half(F.col("date") >= "1999-01-01"), ["return_mode", "horizon", "bin"]))
 
@@ -63,17 +58,17 @@ def _extremes(s, d):
 
 def _per_group(s, d):
     w = Window.partitionBy("return_mode", "horizon").orderBy(F.col("phase_product").desc(), "date", "ticker")
-    c = xs.with_percentile(panel(s, d)).filter("q_psi >= 0.875")
+    c = cells(s, d).filter("q_psi >= 0.875")
     return rounded(c.withColumn("r", F.row_number().over(w).cast("long")).filter("r <= 5").select("return_mode", "horizon", "r", "date", "ticker", "phase_product"))
 
 
 def _crossings(s, d):
-    curve = xs.equal_width_curve(xs.with_percentile(panel(s, d))).withColumn("q", (F.col("bin") + 0.5) / 20.0)
+    curve = xs.equal_width_curve(cells(s, d)).withColumn("q", (F.col("bin") + 0.5) / 20.0)
     return rounded(xs.zero_crossings(curve, "q", "mean", ("return_mode", "horizon")))
 
 
 def _paths(s, d):
-    curve = xs.equal_width_curve(xs.with_percentile(panel(s, d)))
+    curve = xs.equal_width_curve(cells(s, d))
     return xs.phase_path(curve, "bin", "mean", ("return_mode", "horizon"))
 
 
@@ -84,7 +79,7 @@ def _bands(s, d):
 
 def _single_phase(s, d):
     """Five bands of equal psi shares of the training days, filled by later ones: estimate and whether each has one sign."""
-    p, keys = panel(s, d).persist(), ("return_mode", "horizon")
+    p, keys = panel(s, d), ("return_mode", "horizon")
     edges = xs.bin_edges(p.filter(F.col("date") < "1999-01-01"), "psi_primary", 5, keys)
     test = xs.with_bin(p.filter(F.col("date") >= "1999-01-01"), edges, "psi_primary", keys)
     e = xs.equal_date_mean(test, "phase_product", (*keys, "bin"))
@@ -98,7 +93,7 @@ def _subgroups(s, d):
 
 
 QUERIES = {
-    "xs_percentile": lambda s, d: rounded(xs.with_percentile(panel(s, d)).select("date", "ticker", "return_mode", "horizon", "q_psi")),
+    "xs_percentile": lambda s, d: rounded(cells(s, d).select("date", "ticker", "return_mode", "horizon", "q_psi")),
     "sector_percentile": _sector,
     "cell_median_mad": lambda s, d: rounded(cells(s, d).select("date", "return_mode", "horizon", "med", "robust_scale_xs").distinct()),
     "huber_response": lambda s, d: rounded(cells(s, d).select("date", "ticker", "return_mode", "horizon", "phase_product_robust", "was_clipped")),
@@ -108,7 +103,7 @@ QUERIES = {
     "tail_bands": _bands,
     "psi_quantiles": lambda s, d: rounded(xs.quantile_table(panel(s, d))),
     "quantile_curve_oos": _quantile_curve,
-    "qbin_curve": lambda s, d: rounded(xs.equal_width_curve(xs.with_percentile(panel(s, d)))),
+    "qbin_curve": lambda s, d: rounded(xs.equal_width_curve(cells(s, d))),
     "phase_diagram_pivot": _pivot,
     "curve_distance": _distance,
     "topk_extremes": _extremes,

@@ -11,8 +11,8 @@ from phasegrid.operators import inference as inf
 from phasegrid.operators import models, splits
 from phasegrid.oracles.base import with_panel
 from phasegrid.oracles.bootstrap import bootstrap_sql
-from phasegrid.plans.crosssection import _BIN, _Q, _ROBUST, _edges, cells
-from phasegrid.plans.panels import KEY, panel, rounded
+from phasegrid.plans.crosssection import _BIN, _Q, _ROBUST, _edges
+from phasegrid.plans.panels import KEY, cells, panel, rounded
 from phasegrid.sources.tables import table
 
 GRID = tuple(range(5, 55, 5))
@@ -90,7 +90,7 @@ def _select_sql() -> str:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later rows with a score: the share of momentum in their psi bin (10) among earlier ones."""
-    p, keys = panel(spark, sf_dir).persist(), ("return_mode", "horizon")
+    p, keys = panel(spark, sf_dir), ("return_mode", "horizon")
     early = p.filter(F.col("date") < "1999-01-01")
     edges = xs.bin_edges(early, "psi_primary", 10, keys)
     share = xs.with_bin(early, edges, "psi_primary", keys).groupBy(*keys, "bin").agg(F.avg("phase_label").alias("score"))
@@ -123,7 +123,7 @@ def _tail_days(s, d):
 
 def _certified_tails(s, d):
     """The robust tail rule without intervals: an estimate below -0.02 standard deviations of training days in both bands, by expanding fold."""
-    p = cells(s, d).persist()
+    p = cells(s, d)
     f = F.broadcast(splits.expanding_folds(p).select(F.col("return_mode").alias("_m"), "fold", "train_end", "test_start", "test_end"))
     days = xs.daily_means(xs.banded(p, [0.85, (0.85 + 1.0) / 2.0, 1.0]), "phase_product_robust", ("return_mode", "horizon", "band"))
     both = days.join(f, (F.col("return_mode") == F.col("_m")) & (F.col("date") <= F.col("test_end"))).withColumn("train", F.col("date") <= F.col("train_end"))
@@ -142,7 +142,7 @@ def _boot(block):
 
 def _clusters(s, d):
     """Crossings of each expanding fold's test curve, clustered over folds."""
-    c = xs.with_percentile(panel(s, d)).persist()
+    c = cells(s, d)
     rows = splits.fold_rows(c, splits.walkforward_folds(c), 0).filter("part = 'test'")
     n = F.greatest(F.ceil(F.round(F.col("q_psi") * 20, 9)) - 1, F.lit(0)).cast("int")
     curve = rows.withColumn("bin", n).groupBy("return_mode", "fold", "horizon", "bin").agg(F.avg("phase_product").alias("mean")).withColumn("q", (F.col("bin") + 0.5) / 20.0)
@@ -172,10 +172,10 @@ QUERIES = {
     "bootstrap_ci_a": lambda s, d: rounded(_boot(21)(s, d)),
     "bootstrap_ci_b": lambda s, d: rounded(_boot(None)(s, d)),
     "root_clusters": _clusters,
-    "isotonic_boundary": lambda s, d: models.isotonic_boundaries(panel(s, d).persist()),
-    "logistic_designs": lambda s, d: models.logistic_designs(panel(s, d).persist()),
-    "spline_surface": lambda s, d: models.spline_curves(panel(s, d).persist()),
-    "spline_surface_roots": lambda s, d: xs.zero_crossings(models.spline_curves(panel(s, d).persist()), "psi", "fit", ("return_mode", "horizon")),
+    "isotonic_boundary": lambda s, d: models.isotonic_boundaries(panel(s, d)),
+    "logistic_designs": lambda s, d: models.logistic_designs(panel(s, d)),
+    "spline_surface": lambda s, d: models.spline_curves(panel(s, d)),
+    "spline_surface_roots": lambda s, d: xs.zero_crossings(models.spline_curves(panel(s, d)), "psi", "fit", ("return_mode", "horizon")),
 }
 
 _FAM = "PARTITION BY return_mode, fold"

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.config import SMALL, PanelConfig
+from phasegrid.functions.protocol import canonical_hash
+from phasegrid.operators import crosssection as xs
 from phasegrid.operators import series
 from phasegrid.oracles.base import bars_sql, features_sql, panel_sql, returns_sql
-from phasegrid.sources.tables import asset_and_market_bars, enough_history, index_close, table, trade_bars, transactions
+from phasegrid.sources.store import kept
+from phasegrid.sources.tables import asset_and_market_bars, enough_history, index_close, table, trade_bars, transactions, write_panel
 
 KEY = "p_brand"
 
@@ -30,10 +33,25 @@ def features(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig
     return series.series_features(*asset_and_market_bars(spark, sf_dir, key), cfg)
 
 
-def panel(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
+def built_panel(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
     return series.phase_panel(features(spark, sf_dir, key, cfg), cfg)
 
 
+def panel(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
+    """The stored panel: built when first asked for, then read by mode and horizon."""
+    return kept(spark, f"panel-{key}-{canonical_hash(asdict(cfg))[:12]}", _sources(sf_dir), lambda: built_panel(spark, sf_dir, key, cfg), write_panel)
+
+
+def cells(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
+    """The stored panel with percentiles and robust responses, stored, too."""
+    made = lambda: xs.with_robust_response(xs.with_percentile(panel(spark, sf_dir, key, cfg)))
+    return kept(spark, f"cells-{key}-{canonical_hash(asdict(cfg))[:12]}", _sources(sf_dir), made, write_panel)
+
+
+def _sources(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]
+
+
 def _bars(spark, d):
     return rounded(trade_bars(transactions(spark, d, KEY)).drop("drift"))
 
@@ -66,7 +84,7 @@ QUERIES = {
     "spectral_bank": lambda s, d: rounded(features(s, d).select("ticker", "return_mode", "date", "psi_5", "psi_10", "psi_21")),
     "ewm_levels": lambda s, d: rounded(features(s, d).select("ticker", "return_mode", "date", "lam_5", "lam_10", "lam_21")),
     "controls": lambda s, d: rounded(features(s, d).filter("return_mode = 'raw'").select("ticker", "date", "vol20", "range20", "log_dollar_volume20")),
-    "phase_panel": lambda s, d: rounded(panel(s, d).select("date", "ticker", "asset_class", "return_mode", "horizon", "psi_primary", "poisson_excess_primary", "past_state", "future_state", "phase_product", "phase_label")),
+    "phase_panel": lambda s, d: rounded(built_panel(s, d).select("date", "ticker", "asset_class", "return_mode", "horizon", "psi_primary", "poisson_excess_primary", "past_state", "future_state", "phase_product", "phase_label")),
     "stride_sample": lambda s, d: rounded(panel(s, d, cfg=replace(SMALL, stride=5)).select("date", "ticker", "return_mode", "horizon", "psi_primary", "phase_product")),
     "phase_panel_types": lambda s, d: rounded(panel(s, d, "p_type").groupBy("ticker", "return_mode", "horizon").agg(F.count("*").alias("n"), F.avg("phase_product").alias("mean_product"), F.avg("phase_label").alias("share_m"), F.avg("vol20").alias("mean_vol20"))),
 }

@@ -14,7 +14,7 @@ PURGE = max(SMALL.horizons)
 
 
 def _purged(s, d):
-    p = panel(s, d).persist()
+    p = panel(s, d)
     return sp.fold_rows(p, sp.walkforward_folds(p), PURGE).groupBy("return_mode", "fold", "horizon", "part").agg(F.count("*").alias("n_rows"), F.countDistinct("date").alias("n_dates"), F.max("date").alias("last_date"))
 
 
@@ -26,7 +26,7 @@ def _supported(s, d):
 
 def _loaco(s, d):
     """Leaving one class out: rows of the others before a fold's test block train, its own in the block test."""
-    p = panel(s, d).persist()
+    p = panel(s, d)
     rows = sp.fold_rows(p, sp.walkforward_folds(p), PURGE).groupBy("return_mode", "fold", "part", "asset_class").agg(F.count("*").alias("n"))
     total = rows.filter("part = 'train'").groupBy("return_mode", "fold").agg(F.sum("n").alias("all_train"))
     own = rows.groupBy("return_mode", "fold", "asset_class").pivot("part", ["train", "test"]).agg(F.sum("n")).na.fill(0)
@@ -36,7 +36,7 @@ def _loaco(s, d):
 
 def _semi(s, d):
     """Panel rows on dates of the second walk-forward block."""
-    p = panel(s, d).persist()
+    p = panel(s, d)
     days = sp.fold_rows(p.select("return_mode", "date").distinct(), sp.walkforward_folds(p), PURGE).filter("fold = 2 AND part = 'test'")
     return rounded(p.join(days.select("return_mode", "date"), ["return_mode", "date"], "left_semi").groupBy("return_mode", "horizon").agg(F.count("*").alias("n"), F.avg("phase_product").alias("mean")))
 
