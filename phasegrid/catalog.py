@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from phasegrid.plans import audits, certification, crosssection, inference, panels, splits
+from phasegrid.plans import audits, certification, crosssection, inference, panels, roots, splits
 
 
-_MODULES = (panels, crosssection, splits, inference, certification, audits)
+_MODULES = (panels, crosssection, splits, inference, certification, roots, audits)
 
 
 def flagship(spark, sf_dir: str):

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from phasegrid.operators.ranks import running_sums, value_ranks
 
@@ -116,6 +117,14 @@ def auc(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: st
     return each.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
+def response_metrics(df: DataFrame, keys: tuple[str, ...], score: str, value: str, label: str, weight: str, base: str) -> DataFrame:
+    """Weighted squared and absolute errors of a score of a continuous value, the squared error of the constant `base` and the skill against it, rank correlation, and the AUC for the label."""
+    p, y, w = F.col(score), F.col(value), F.col(weight)
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(w * (y - p) ** 2) / F.sum(w)).alias("mse"), (F.sum(w * (y - F.col(base)) ** 2) / F.sum(w)).alias("baseline_mse"), (F.sum(w * F.abs(y - p)) / F.sum(w)).alias("mae"))
+    g = g.withColumn("mse_skill", 1 - F.col("mse") / F.nullif(F.col("baseline_mse"), F.lit(0.0)))
+    return g.join(spearman(df, keys, score, value).drop("n"), list(keys), "left").join(auc(df, keys, score, label, weight), list(keys), "left")
+
+
 def score_metrics(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: str) -> DataFrame:
     """Brier score, its baseline and skill, log loss, beside the AUC."""
     p, y, w = F.col(score), F.col(label), F.col(weight)
@@ -137,16 +146,33 @@ def spearman(df: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
 PRIME, MIX, STEP = 2_147_483_647, (48_271, 69_621), (1_000_003, 7_919)
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: Resamples that one row of the exploded bootstrap draws.
+DRAWS = 50
+
 
+def _mixed(x: np.ndarray, a: int) -> np.ndarray:
+    return (x * x % PRIME * a + x + a) % PRIME
 
-def draw(seed: Column, rep: Column, block: Column) -> Column:
+
+def draws(seed: int, reps: np.ndarray, blocks: int) -> np.ndarray:
     """A pseudo-random integer below PRIME for each (seed, rep, block)."""
-    x = (seed + STEP[0] * (rep + 1) + STEP[1] * (block + 1)) % PRIME
-    mixed = lambda v, a: (v * v % PRIME * a + v + a) % PRIME
-    return bound(bound(x.cast("long"), lambda v: mixed(v, MIX[0])), lambda v: mixed(v, MIX[1]))
+    x = (seed + STEP[0] * (reps[:, None] + 1) + STEP[1] * (np.arange(blocks)[None, :] + 1)) % PRIME
+    return _mixed(_mixed(x.astype(np.int64), MIX[0]), MIX[1])
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _resampled(run: pd.Series, seed: pd.Series, size: pd.Series, first: pd.Series, reps: pd.Series) -> pd.Series:
+    """Means of resamples first, first + 1, ... (DRAWS at most, below reps) of a series with running sums `run`, in blocks of `size`."""
+    out = []
+    for c, s, b, r, most in zip(run, seed, size, first, reps, strict=True):
+        c = np.concatenate([[0.0], np.asarray(c, float)])
+        n = len(c) - 1
+        k = -(-n // b)
+        at = draws(int(s), np.arange(r, min(r + DRAWS, most)), k) % (n - b + 1)
+        length = np.full(k, b)
+        length[-1] = n - (k - 1) * b
+        out.append((c[at + length] - c[at]).sum(1) / n)
+    return pd.Series(out)
 
 
 def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, seed: Column, block: int | None) -> DataFrame:
@@ -154,7 +180,7 @@ def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, see
 
     block: its length; then series shorter than 10 or than two blocks get an estimate only. None: about the cube root of the series, 5 at least, for
     any length; a single value is its own interval; only p_lt0. A resample's mean adds up blocks as differences of the series' running sum; p-values
-    count resamples on the wrong side, itself included. All in built-in expressions; a row holds one series of daily means. Null days are left out.
+    count resamples on the wrong side, itself included. A row holds one series of daily means and DRAWS of its resamples, so tasks share the work of a long series. Null days are left out.
     """
     series = days.filter(F.col(value).isNotNull()).withColumn("_seed", seed.cast("long"))
     w = Window.partitionBy(*keys).orderBy("date")
@@ -162,19 +188,13 @@ def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, see
     g = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "_c"))).alias("_l"), F.avg(value).alias("estimate"), F.count("*").alias("n_dates"), F.max("_seed").alias("_seed"))
     n = F.col("n_dates")
     size = F.lit(max(1, block)) if block is not None else F.greatest(F.lit(5), F.round(F.pow(n, F.lit(1.0 / 3.0))))
-    g = g.withColumn("_b", F.least(size.cast("long"), n)).withColumn("_k", F.ceil(n / F.col("_b")))
-    run = F.concat(F.array(F.lit(0.0)), F.transform("_l", lambda x: x["_c"]))
-    g = g.withColumns({"_run": run, "_last": n - (F.col("_k") - 1) * F.col("_b")})
-
-    def mean(r: Column) -> Column:
-        def add(acc: Column, j: Column) -> Column:
-            size = F.when(j == F.col("_k") - 1, F.col("_last")).otherwise(F.col("_b"))
-            return bound((draw(F.col("_seed"), r, j) % (n - F.col("_b") + 1)).cast("int"), lambda at: acc + F.get("_run", (at + size).cast("int")) - F.get("_run", at))
-
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), F.lit(0.0), add) / n
-
+    g = g.withColumns({"_b": F.least(size.cast("long"), n), "_run": F.transform("_l", lambda x: x["_c"])})
     enough = n >= (max(10, 2 * block) if block is not None else 2)
-    g = g.withColumn("_m", F.when(enough, F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), mean))))
+    some = g.filter(enough).select(*keys, "_run", "_seed", "_b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(DRAWS))).alias("_first"))
+    # a row of some KB is dealt out by what it draws, not by its key
+    some = some.repartition(F.xxhash64(*keys, "_first")).select(*keys, _resampled("_run", "_seed", "_b", "_first", F.lit(reps)).alias("_part"))
+    means = some.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("_part"))).alias("_m"))
+    g = g.drop("_run", "_l", "_seed").join(means, list(keys), "left")
 
     def quantile(p: float) -> Column:
         at = (reps - 1) * p
@@ -190,25 +210,53 @@ def bootstrap(days: DataFrame, keys: tuple[str, ...], value: str, reps: int, see
     return g.select(*keys, "estimate", "ci_lo", "ci_hi", "p_two", "p_gt0", "p_lt0", "n_dates")
 
 
+def paired_days(df: DataFrame, keys: tuple[str, ...], first: str, second: str, label: str = "phase_label") -> DataFrame:
+    """(keys, date, auc_0, auc_1, delta_auc, delta_brier, n) of two scores of the same rows on each day that has both labels; a positive delta speaks for the second.
+
+    A day's AUC is its share of (positive, negative) pairs in the right order, ties half, from mean ranks within the day.
+    """
+    day = Window.partitionBy(*keys, "date")
+
+    def ranked(c: str) -> Column:
+        return F.rank().over(day.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, "date", c)) - 1) / 2.0
+
+    out = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*keys, "date", first, second, F.col(label).alias("_y")).withColumns({"_r0": ranked(first), "_r1": ranked(second)})
+    up = F.col("_y") > 0.5
+    g = out.groupBy(*keys, "date").agg(F.count_if(up).alias("_p"), F.count("*").alias("n"), *(F.sum(F.when(up, F.col(f"_r{i}"))).alias(f"_s{i}") for i in (0, 1)), *(F.avg((F.col("_y") - F.col(c)) ** 2).alias(f"_b{i}") for i, c in enumerate((first, second))))
+    g = g.filter((F.col("_p") > 0) & (F.col("_p") < F.col("n")))
+    p, n = F.col("_p"), F.col("n") - F.col("_p")
+    g = g.withColumns({f"auc_{i}": (F.col(f"_s{i}") - p * (p + 1) / 2.0) / (p * n) for i in (0, 1)})
+    return g.select(*keys, "date", "auc_0", "auc_1", (F.col("auc_1") - F.col("auc_0")).alias("delta_auc"), (F.col("_b0") - F.col("_b1")).alias("delta_brier"), "n")
+
+
+def paired_bootstrap(days: DataFrame, keys: tuple[str, ...], reps: int, seed: Column, block: int) -> DataFrame:
+    """(keys, metric, estimate, ci_lo, ..., n_dates): bootstraps of both mean deltas of paired_days. A resample draws the same days for both, since draws depend on seed, resample and block alone."""
+    names = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("v")) for m, c in (("mean_datewise_auc_delta", "delta_auc"), ("mean_datewise_brier_improvement", "delta_brier"))))
+    each = days.select(*keys, "date", F.explode(names).alias("m")).select(*keys, "date", "m.*").withColumn("_own", seed)
+    return bootstrap(each, (*keys, "metric"), "v", reps, F.col("_own"), block)
+
+
 def cluster_roots(roots: DataFrame, width: float = 0.06) -> DataFrame:
-    """(return_mode, horizon, direction, cluster, support, root_quantile, iqr): roots in order join the cluster whose median is nearest, if within width; of a fold the one nearest to the median counts. A group is the roots of a few folds."""
+    """(return_mode, horizon, direction, cluster, support, root, root_quantile, q25, q75, iqr, folds) of roots (those keys, fold, root, root_quantile): in order they join the cluster whose median is nearest, if within width; of a fold the one nearest to the median counts. A group is the roots of a few folds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["root_quantile", "fold"])
-        groups: list[list[tuple[int, float]]] = []
-        for fold, q in zip(pdf["fold"], pdf["root_quantile"], strict=True):
-            far = [abs(float(np.median([v for _, v in g])) - q) for g in groups]
+        groups: list[list[tuple[int, float, float]]] = []
+        for fold, q, root in zip(pdf["fold"], pdf["root_quantile"], pdf["root"], strict=True):
+            far = [abs(float(np.median([v for _, v, _ in g])) - q) for g in groups]
             if far and min(far) <= width:
-                groups[int(np.argmin(far))].append((fold, q))
+                groups[int(np.argmin(far))].append((fold, q, root))
             else:
-                groups.append([(fold, q)])
+                groups.append([(fold, q, root)])
         rows = []
         for i, g in enumerate(groups, 1):
-            mid = float(np.median([v for _, v in g]))
-            best = {f: v for f, v in sorted(g, key=lambda r: -abs(r[1] - mid))}
-            x = np.array(list(best.values()))
+            mid = float(np.median([v for _, v, _ in g]))
+            best = {f: (v, root) for f, v, root in sorted(g, key=lambda r: -abs(r[1] - mid))}
+            x = np.array([v for v, _ in best.values()])
             lo, hi = np.quantile(x, [0.25, 0.75])
-            rows.append([*(pdf[k].iloc[0] for k in ("return_mode", "horizon", "direction")), i, len(best), float(np.median(x)), float(hi - lo)])
-        return pd.DataFrame(rows, columns=["return_mode", "horizon", "direction", "cluster", "support", "root_quantile", "iqr"])
+            own = [*(pdf[k].iloc[0] for k in ("return_mode", "horizon", "direction")), i, len(best), float(np.median([r for _, r in best.values()])), float(np.median(x)), float(lo), float(hi), float(hi - lo)]
+            rows.append([*own, ",".join(map(str, sorted(best)))])
+        return pd.DataFrame(rows, columns=["return_mode", "horizon", "direction", "cluster", "support", "root", "root_quantile", "q25", "q75", "iqr", "folds"])
 
-    return roots.groupBy("return_mode", "horizon", "direction").applyInPandas(run, "return_mode string, horizon int, direction string, cluster int, support int, root_quantile double, iqr double")
+    kind = "return_mode string, horizon int, direction string, cluster int, support int, root double, root_quantile double, q25 double, q75 double, iqr double, folds string"
+    return roots.groupBy("return_mode", "horizon", "direction").applyInPandas(run, kind)

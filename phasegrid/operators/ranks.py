@@ -13,39 +13,58 @@ from phasegrid.sources.store import stored
 BRACKET = 1e-3
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str], out: str = "q", bracket: float = BRACKET) -> DataFrame:
-    """(keys, n, out): exact, linearly interpolated quantiles of value at shares, as an array; nulls aren't counted.
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float] | dict[tuple, Sequence[float]], keys: Sequence[str], out: str = "q", bracket: float = BRACKET) -> DataFrame:
+    """(keys, n, out): exact, linearly interpolated quantiles of value at shares (by keys, if each has its own), as an array; nulls aren't counted.
 
-    A mergeable sketch brackets each order statistic that is asked for; then one scan counts what lies below each bracket and another one the distinct
+    A mergeable sketch brackets each order statistic that is asked for; then one scan counts what lies below each bracket, and one the distinct
     values inside, a few thousandths of a group. Counts say whether a bracket holds its statistic; where one doesn't, brackets widen, up to all values. df is
-    scanned three times. There are few groups.
+    scanned three times. Groups are few: the driver holds some numbers of each.
     """
-    keys, data = list(keys), df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    keys, spark = list(keys), df.sparkSession
+    data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.select(*keys).schema)
+    every = sorted({float(p) for own in shares.values() for p in own}) if isinstance(shares, dict) else [float(p) for p in shares]
+    of = (lambda k: [float(p) for p in shares.get(k, ())]) if isinstance(shares, dict) else (lambda k: every)
     while True:
-        around = [min(1.0, max(0.0, p + d)) for p in shares for d in (-bracket, bracket)]
-        g = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, around)), F.lit(int(4 / bracket))).alias("_a"))
-        low = [F.lit(float("-inf")) if p - bracket <= 0 else F.get("_a", F.lit(2 * i)) for i, p in enumerate(shares)]
-        high = [F.lit(float("inf")) if p + bracket >= 1 else F.get("_a", F.lit(2 * i + 1)) for i, p in enumerate(shares)]
-        at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
-        each = [F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), a.alias("at")) for i, (lo, hi, a) in enumerate(zip(low, high, at, strict=True))]
-        marks = stored(g.select(*keys, "n", F.array(*each).alias("_m")), "quantile-brackets")
-        rows = data.join(F.broadcast(marks), keys)
-        below = rows.groupBy(*keys).agg(*(F.sum((F.col("_v") < F.get("_m", F.lit(i))["lo"]).cast("long")).alias(f"_b{i}") for i in range(len(shares))))
-        inside = rows.select(*keys, "_v", F.explode(F.filter("_m", lambda m: F.col("_v").between(m["lo"], m["hi"]))).alias("m"))
-        inside = inside.groupBy(*keys, F.col("m.i").alias("i"), F.col("m.at").alias("at"), "_v").agg(F.count("*").alias("k"))
-        counts = F.array(*(F.col(f"_b{i}") for i in range(len(shares))))
-        w = Window.partitionBy(*keys, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-        inside = inside.join(F.broadcast(below.select(*keys, counts.alias("_b"))), keys)
-        inside = inside.withColumn("_from", F.get("_b", F.col("i")) + F.coalesce(F.sum("k").over(w), F.lit(0)))
-        has = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("k"))
-        pick = inside.groupBy(*keys, "i", "at").agg(F.max(F.when(has(F.floor("at")), F.col("_v"))).alias("_l"), F.max(F.when(has(F.ceil("at")), F.col("_v"))).alias("_h"))
-        part = F.col("at") - F.floor("at")
-        pick = pick.withColumn("_q", F.when(part == 0, F.col("_l")).otherwise(F.col("_l") + (F.col("_h") - F.col("_l")) * part))
-        found = pick.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda s: s["_q"]).alias(out))
-        result = stored(marks.select(*keys, "n").join(found, keys, "left"), "quantiles")
-        missed = result.filter(F.col(out).isNull() | (F.size(out) < len(shares)) | F.exists(out, lambda q: q.isNull())).limit(1).count()
+        around = sorted({min(1.0, max(0.0, p + d)) for p in every for d in (-bracket, bracket)}) or [0.5]
+        sketch = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, around)), F.lit(int(4 / bracket))).alias("a")).collect()
+        place = {p: i for i, p in enumerate(around)}
+        marks, size = [], {}
+        for r in sketch:
+            k = tuple(r[x] for x in keys)
+            size[k] = r["n"]
+            low = [float("-inf") if p - bracket <= 0 else r["a"][place[p - bracket]] for p in of(k)]
+            high = [float("inf") if p + bracket >= 1 else r["a"][place[p + bracket]] for p in of(k)]
+            if low:
+                marks.append((*k, [(i, lo, hi) for i, (lo, hi) in enumerate(zip(low, high, strict=True))]))
+        most = max((len(m[-1]) for m in marks), default=0)
+        found: dict[tuple, dict[int, list]] = {k: {} for k in size}
+        below: dict[tuple, list] = {}
+        if most:
+            rows = data.join(F.broadcast(spark.createDataFrame(marks, f"{kinds}, _m array<struct<i: int, lo: double, hi: double>>")), keys)
+            for r in rows.groupBy(*keys).agg(*(F.sum((F.col("_v") < F.get("_m", F.lit(i))["lo"]).cast("long")).alias(f"_b{i}") for i in range(most))).collect():
+                below[tuple(r[x] for x in keys)] = [r[f"_b{i}"] for i in range(most)]
+            starts = [(*k, i, b[i], (size[k] - 1) * p) for k, b in below.items() for i, p in enumerate(of(k))]
+            inside = rows.select(*keys, "_v", F.explode(F.filter("_m", lambda m: F.col("_v").between(m["lo"], m["hi"]))).alias("m"))
+            inside = inside.groupBy(*keys, F.col("m.i").alias("_i"), "_v").agg(F.count("*").alias("_k"))
+            inside = inside.join(F.broadcast(spark.createDataFrame(starts, f"{kinds}, _i int, _from long, _at double")), [*keys, "_i"])
+            w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+            inside = inside.withColumn("_from", F.col("_from") + F.coalesce(F.sum("_k").over(w), F.lit(0)))
+            has = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("_k"))
+            pick = inside.groupBy(*keys, "_i").agg(F.max(F.when(has(F.floor("_at")), F.col("_v"))).alias("l"), F.max(F.when(has(F.ceil("_at")), F.col("_v"))).alias("h"))
+            for r in pick.collect():
+                found[tuple(r[x] for x in keys)][r["_i"]] = (r["l"], r["h"])
+        lines, missed = [], False
+        for k, n in size.items():
+            q = []
+            for i, p in enumerate(of(k)):
+                low, high = found[k].get(i, (None, None))
+                missed |= low is None or high is None
+                at = (n - 1) * p
+                q.append(None if low is None or high is None else low + (high - low) * (at - int(at)))
+            lines.append((*k, n, q))
         if not missed or bracket >= 1:
-            return result
+            return spark.createDataFrame(lines, f"{kinds}{', ' if keys else ''}n long, {out} array<double>")
         bracket *= 16
 
 

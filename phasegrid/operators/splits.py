@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasegrid.config import MODES
+
 
 def minus_business_days(d: Column, n: Column | int) -> Column:
     """d less n weekdays (no holidays); a weekend counts as the Monday after it."""
@@ -63,14 +65,22 @@ def balanced_sample(panel: DataFrame, size: int, seed: int, keys: tuple[str, ...
     return panel.withColumn("_k", -F.ln(u) * n).orderBy("_k", *keys).limit(size).drop("_k")
 
 
-def fold_seed(seed: int, mode_index: int, fold: int, h: int = 0, scheme: str = "fit", extra: int = 0) -> int:
-    """Seeds of the fits and bootstraps. The offsets of each scheme."""
-    base = seed + 100_000 * (mode_index + 1) + fold
+def mode_number(mode: Column) -> Column:
+    """1, 2, ... in order of MODES; 0 for others."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, MODES)), mode), F.lit(0)).cast("long")
+
+
+def fold_seed(seed: int, scheme: str = "fit", mode: Column | None = None, fold: Column | None = None, h: Column | None = None, extra: Column | None = None) -> Column:
+    """Seeds of fits and bootstraps, by mode, fold, horizon and what a scheme adds. The offsets of each scheme."""
+    of = lambda c, d: F.lit(0).cast("long") if c is None else (F.col(d) if c is True else c).cast("long")
+    m = mode_number(F.col("return_mode") if mode is None else mode)
+    k, h, extra = of(True if fold is None else fold, "fold"), of(h, "horizon"), of(extra, "")
+    base = F.lit(seed) + 100_000 * m + k
     return {
         "fit": base,
         "single_phase": base + 50_000 * h,
         "root": base + 10_000 * h + 97 * extra,
-        "tail": seed + 200_000 * (mode_index + 1) + 10_000 * fold + h,
-        "scaled_tail": seed + 300_000 * (mode_index + 1) + 10_000 * fold + h + extra,
-        "robust_tail": seed + 100_000 * fold + 1000 * h + extra,
+        "tail": F.lit(seed) + 200_000 * m + 10_000 * k + h,
+        "scaled_tail": F.lit(seed) + 300_000 * m + 10_000 * k + h + extra,
+        "robust_tail": F.lit(seed) + 100_000 * k + 1000 * h + extra,
     }[scheme]

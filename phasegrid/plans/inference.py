@@ -146,7 +146,7 @@ def _clusters(s, d):
     rows = splits.fold_rows(c, splits.walkforward_folds(c), 0).filter("part = 'test'")
     n = F.greatest(F.ceil(F.round(F.col("q_psi") * 20, 9)) - 1, F.lit(0)).cast("int")
     curve = rows.withColumn("bin", n).groupBy("return_mode", "fold", "horizon", "bin").agg(F.avg("phase_product").alias("mean")).withColumn("q", (F.col("bin") + 0.5) / 20.0)
-    roots = xs.zero_crossings(curve, "q", "mean", ("return_mode", "fold", "horizon")).select("return_mode", "fold", "horizon", "direction", F.col("root").alias("root_quantile"))
+    roots = xs.zero_crossings(curve, "q", "mean", ("return_mode", "fold", "horizon")).select("return_mode", "fold", "horizon", "direction", "root", F.col("root").alias("root_quantile"))
     return inf.cluster_roots(roots)
 
 
