@@ -11,49 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space; words are maximal runs of anything else.
-SPACE = r"[\x20\x09-\x0D]+"
+from phasegrid.sources.store import drop_stored, shared_dir, stored
 
-_own_dir: dict[str, str] = {}
+__all__ = ["bloom_joins", "drop_stored", "gapless_rank", "int_map", "new_path", "release", "shared_dir", "small_batches", "stored", "table", "words"]
 
+#: ASCII white space; words are maximal runs of anything else.
+SPACE = r"[\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; if none is named, one in the warehouse, which executors share, too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_phasegrid"
-    return _own_dir[app]
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, gives real sizes."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by stored() that no later step reads."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            if f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") == shared_dir(spark).split(":", 1)[-1].lstrip("/"):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced."""
     gc.collect()

@@ -252,6 +252,9 @@ def _fragments(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order: Order,
     cuts = own.mapInArrow(cut, "set_id long, front array<array<long>>, back array<array<long>>")
     with bloom_joins(docs.sparkSession):  # few of the texts are wanted
         cuts = stored(cuts, "ngram-fragments")
+    if cuts.count() > first.filter("_n > 0").count():  # rows repeated with id and text: one of each set stays
+        every, cuts = cuts, stored(cuts.dropDuplicates(["set_id"]), "ngram-fragments")
+        drop_stored(every)
     drop_stored(ids, first)
     return cuts
 
@@ -272,8 +275,7 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
         left = own.select(F.col("set_id").alias("a"), F.col("salt").alias("sa"), F.col(some).alias("x"))
         right = own.select(F.col("set_id").alias("b"), F.col("salt").alias("sb"), F.col(some).alias("y"))
         parts = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
-        both = dealt.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select(*pair, F.aggregate(parts, F.lit(0), lambda n, k: n + k).alias("overlap"), size(F.col("x")).alias("nx"), size(F.col("y")).alias("ny"))
-        return both.distinct()  # rows repeated with id and text give a set's fragments twice
+        return dealt.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select(*pair, F.aggregate(parts, F.lit(0), lambda n, k: n + k).alias("overlap"), size(F.col("x")).alias("nx"), size(F.col("y")).alias("ny"))
 
     first = counted(pairs, "front").filter(enough(F.col("overlap") + F.least(F.col("an") - F.col("nx"), F.col("bn") - F.col("ny")))).select(*pair, "overlap")
     first = stored(first, "ngram-part")

@@ -76,17 +76,20 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_needed: int = SOFT_NEEDED) -> DataFrame:
-    """pages with url_host, url_path, url_rule, url_strict, url_soft and url_verdict.
+    """pages with url_host, url_path, url_rule, url_strict, url_soft and url_verdict; columns of pages with these names are replaced, all others stay.
 
     A fitting rule decides; else one strict hit or soft_needed distinct soft terms block. Every row is judged by
-    itself: no shuffle. Null or empty urls are allowed, with empty host and path; repeated rows stay repeated.
+    itself: no shuffle. Null or empty urls are allowed, with empty host and path; repeated rows stay repeated; an empty table gives no rows.
     """
-    host, path = host_path(F.col(url))
-    out = pages.withColumns({"url_host": host, "url_path": path})
+    host, path = host_path(F.col("url"))
+    # the row goes along as a struct, so that no name of its columns can clash
+    out = pages.select(F.struct(*pages.columns).alias("row"), F.col(url).alias("url")).withColumns({"url_host": host, "url_path": path})
     name, ruled = rule_of(F.col("url_host"), F.col("url_path"), rules)
-    out = out.withColumns({"url_rule": name, "_ruled": ruled, "_hits": vocabulary_hits(F.col(url), strict, soft)})
-    bad = (F.col("_hits.strict") >= 1) | (F.col("_hits.soft") >= soft_needed)
-    return out.withColumns({"url_strict": F.col("_hits.strict"), "url_soft": F.col("_hits.soft"), "url_verdict": F.coalesce(F.col("_ruled"), F.when(bad, "block").otherwise("allow"))}).drop("_ruled", "_hits")
+    out = out.withColumns({"url_rule": name, "ruled": ruled, "hits": vocabulary_hits(F.col("url"), strict, soft)})
+    bad = (F.col("hits.strict") >= 1) | (F.col("hits.soft") >= soft_needed)
+    out = out.withColumns({"url_strict": F.col("hits.strict"), "url_soft": F.col("hits.soft"), "url_verdict": F.coalesce(F.col("ruled"), F.when(bad, "block").otherwise("allow"))})
+    new = ["url_host", "url_path", "url_rule", "url_strict", "url_soft", "url_verdict"]
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in new), *new)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

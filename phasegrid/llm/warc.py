@@ -24,7 +24,7 @@ READ_SCHEMA = "record_type string, record_id string, target_uri string, warc_dat
 WRITE_SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, headers map<string,string>, payload binary"
 _COLUMNS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_MANIFEST = "_MANIFEST.json"
+_MANIFEST = "_MANIFEST"
 #: Files are read in groups of about so many bytes, and written and read in pieces of about so many.
 GROUP_BYTES, BUFFER = 128 << 20, 1 << 20
 
@@ -63,7 +63,7 @@ class WarcSource(DataSource):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """A file for each task attempt; the manifest, written at the end, names those that count, so failed attempts leave no records."""
+    """A file for each task attempt; the commit's manifest, written at the end, names those that count, so failed attempts leave no records. An append adds a manifest."""
 
     def __init__(self, options) -> None:
         self.path, self.gzip = options["path"].rstrip("/"), options.get("compression", "none") == "gzip"
@@ -92,7 +92,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, base = _open(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{_MANIFEST}") as out:
+        # one for each commit, so that an append names its files beside the earlier ones
+        with fs.open_output_stream(f"{base}/{_MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
 
     def abort(self, messages) -> None:
@@ -176,10 +177,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, base = _open(self.path)
-        info = fs.get_file_info(f"{base}/{_MANIFEST}")
-        if info.type == pafs.FileType.File:
+        folder = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if fs.get_file_info(base).type == pafs.FileType.Directory else []
+        manifests, names = [i for i in folder if i.base_name.startswith(_MANIFEST)], []
+        for info in manifests:
             with fs.open_input_stream(info.path) as x:
-                sizes = {i.path: i.size for i in fs.get_file_info([f"{base}/{n}" for n in json.loads(x.read())])}
+                names += json.loads(x.read())
+        if manifests:
+            sizes = {i.path: i.size for i in fs.get_file_info([f"{base}/{n}" for n in names])}
         elif fs.get_file_info(base).type == pafs.FileType.File:
             sizes = {base: 0}
         else:
@@ -262,7 +266,8 @@ def archive_pages(pages: DataFrame, path: str, least: int = 1000, compression: s
 
     Payload: html in UTF-8 (null: empty). Of rows with equal payloads of at least `least` bytes, those with the
     largest page_id are responses and others revisits of it; smaller payloads are all responses. Null ids count as smaller than
-    any (all null: responses); rows repeated with the largest id are all responses; a null url leaves its header out.
+    any (all null: responses); rows repeated with the largest id are all responses; a null url leaves its header out. An empty table writes no
+    records; a path that holds an archive keeps it, and gets these records, too.
     Only ids and digests are shuffled: which pages are revisits is stored first, and Spark joins it to the rows by its real size.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")

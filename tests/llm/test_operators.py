@@ -77,6 +77,16 @@ def test_warc_empty(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_appends_keep_earlier_records(spark):
+    path = new_path(spark, "t")
+    long = "é" * 1_500_000
+    for lo, hi in ((0, 10), (10, 250)):
+        warc.archive_pages(spark.createDataFrame([(i, "u", long if i == 5 else f"page {i}", 1) for i in range(lo, hi)], "page_id long, url string, html string, digest int"), path)
+    back = warc.read_warc(spark, path).filter("record_type = 'response'")
+    assert sorted(int(r.i) for r in back.select(F.col("headers")["x-page-id"].alias("i")).collect()) == list(range(250))
+    assert back.filter(F.octet_length("payload") == 3_000_000).count() == 1
+
+
 # 2 ------------------------------------------------------------------------------------------------------------
 def brute_sets(rows):
     out = []
@@ -209,8 +219,11 @@ def test_likelihood_depends_on_the_order_of_words(spark, docs):
     good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("size(split(text, ' ')) > 100").select("doc_id", "text")
     mixed = good.select("doc_id", F.array_join(F.array_sort(F.split("text", " ")), " ").alias("text"))
     ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels))
-    mean = lambda df: df.select(quality_rules.word_hashes(F.col("text")).alias("g")).agg(F.avg(quality_rules.likelihood_score(F.col("g"), ratios))).first()[0]
-    assert mean(mixed) < mean(good) - 0.05
+    scores = lambda df: {r.doc_id: r.s for r in df.select("doc_id", quality_rules.word_hashes(F.col("text")).alias("g")).select("doc_id", quality_rules.likelihood_score(F.col("g"), ratios).alias("s")).collect()}
+    own, other = scores(good), scores(mixed)
+    gain = np.array([own[i] - other[i] for i in own])
+    # of the same words, each document against itself: many standard errors above zero
+    assert len(gain) > 20 and gain.mean() > 5 * gain.std() / math.sqrt(len(gain))
 
 
 def test_quality_rules_clashing_columns_and_long_text(spark):
@@ -483,6 +496,19 @@ def brute_spans(t):
     return ",".join(f"{list(PLAIN)[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+def brute_redacted(text):
+    """Spans that overlap count as one, of the first's kind."""
+    out, at, end = [], 0, -1
+    for kind, a, b in (x.split(":") for x in brute_spans(text).split(",") if x):
+        a, b = int(a), int(b)
+        if a < end:
+            end = max(end, b)
+            continue
+        out += [text[max(at, end) : a], f"<{kind.upper()}>"]
+        at, end = b, b
+    return "".join([*out, text[max(at, end) :]])
+
+
 TRICKY = ["a@b.com_x@y.org z", "1.2.3.4.5.6.7.8 999.1.1.1 00000255.1.1.1", "+1 (555) 123-4567 +12 5", "4111 1111 1111 1111 2", "4111-1111-1111-1111 x 4111  1111", "é😀 a@b.c.d..e f@g..h", "1" * 5000 + " 4111111111111111", "@@a@b@c.d", "a@b.c.d.", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0", "+1+2+33344455566 7", "a" * 3000 + "@b.c", "1." * 4000, "x@" * 2000]
 
 
@@ -589,8 +615,7 @@ def test_pii_of_long_texts(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = pii.find_pii(df).select(pii.listed(F.col("base")).alias("b")).first().b
     assert got == brute_spans(text)
-    red = pii.redact(df).first().text
-    assert red.count("<EMAIL>") == 10000 and red.count("<PHONE>") == 5000 and "@" not in red and red.startswith("item ")
+    assert pii.redact(df).first().text == brute_redacted(text)
 
 
 def test_redact_keeps_clashing_columns(spark):
@@ -630,6 +655,16 @@ def test_url_rules_and_vocabulary(spark):
 
 
 # 10 -----------------------------------------------------------------------------------------------------------
+def test_url_clashing_columns_long_and_empty(spark):
+    long = "http://a.org/" + "ü/" * 300_000 + "casino/x"
+    rows = [(1, long, "h", "r", "row", "old"), (2, None, "h", "r", "row", "old")]
+    df = spark.createDataFrame(rows, "page_id long, link string, _hits string, ruled string, row string, url_host string")
+    out = url_filter.judge_urls(df, "link")
+    got = {r.page_id: r for r in out.collect()}
+    assert (got[1].url_verdict, got[2].url_verdict) == ("block", "allow") and {(r._hits, r.ruled, r.row) for r in got.values()} == {("h", "r", "row")}
+    assert got[1].url_host == "a.org" and url_filter.judge_urls(df.limit(0), "link").count() == 0
+
+
 def brute_top(rows, k, queries):
     v = [(i, [math.floor(256 * float(x)) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = set()
