@@ -125,12 +125,15 @@ def response_metrics(df: DataFrame, keys: tuple[str, ...], score: str, value: st
     return g.join(spearman(df, keys, score, value).drop("n"), list(keys), "left").join(auc(df, keys, score, label, weight), list(keys), "left")
 
 
-def score_metrics(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: str) -> DataFrame:
-    """Brier score, its baseline and skill, log loss, beside the AUC."""
+def score_metrics(df: DataFrame, keys: tuple[str, ...], score: str, label: str, weight: str, base: str | None = None) -> DataFrame:
+    """Brier score, its baseline and skill, log loss, beside the AUC. The baseline is the constant `base`, or else the rate of these rows."""
     p, y, w = F.col(score), F.col(label), F.col(weight)
     q = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
     g = df.groupBy(*keys).agg((F.sum(w * (p - y) ** 2) / F.sum(w)).alias("brier"), (F.sum(w * y) / F.sum(w)).alias("base_rate"), (-F.sum(w * (y * F.ln(q) + (1 - y) * F.ln(1 - q))) / F.sum(w)).alias("log_loss"), F.count("*").alias("n"))
-    g = g.withColumn("base_brier", F.col("base_rate") * (1 - F.col("base_rate")))
+    if base is None:
+        g = g.withColumn("base_brier", F.col("base_rate") * (1 - F.col("base_rate")))
+    else:
+        g = g.join(df.groupBy(*keys).agg((F.sum(w * (F.col(base) - y) ** 2) / F.sum(w)).alias("base_brier")), list(keys))
     g = g.withColumn("skill", 1 - F.col("brier") / F.nullif(F.col("base_brier"), F.lit(0.0)))
     return g.join(auc(df, keys, score, label, weight), list(keys))
 

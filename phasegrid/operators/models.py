@@ -73,56 +73,3 @@ def _second(column: str):
     from pyspark.ml.functions import vector_to_array
 
     return F.get(vector_to_array(column), F.lit(1))
-
-
-def b_splines(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
-    """Cubic B-spline basis by the recursion over degrees; constant beyond the outer knots."""
-    x = np.clip(x, knots[0], knots[-1])
-    t = np.concatenate([np.repeat(knots[0], degree), knots, np.repeat(knots[-1], degree)])
-    at = np.clip(np.searchsorted(knots, x, "right") - 1, 0, len(knots) - 2) + degree
-    b = np.zeros((len(x), len(t) - 1))
-    b[np.arange(len(x)), at] = 1.0
-    for d in range(1, degree + 1):
-        for i in range(len(t) - 1 - d):
-            left = (x - t[i]) / (t[i + d] - t[i]) * b[:, i] if t[i + d] > t[i] else 0.0
-            right = (t[i + d + 1] - x) / (t[i + d + 1] - t[i + 1]) * b[:, i + 1] if t[i + d + 1] > t[i + 1] else 0.0
-            b[:, i] = left + right
-    return b[:, : len(t) - 1 - degree]
-
-
-def spline_curves(panel: DataFrame, n_knots: int = 7, ridge: float = 4.0, points: int = 200) -> DataFrame:
-    """(return_mode, horizon, psi, fit): a ridge spline of the product on psi for each mode and horizon, on a grid over its middle 99 percent.
-
-    Knots are exact quantiles of all rows. Each partition adds up its part of the normal equations (columns: a few splines); the sums of
-    each mode and horizon, some hundred numbers, are solved at the driver.
-    """
-    spark = panel.sparkSession
-    shares = [i / (n_knots - 1) for i in range(n_knots)]
-    q = {(r[0], r[1]): (sorted(set(r[2])), r[3]) for r in panel.groupBy(*KEYS).agg(F.percentile("psi_primary", F.array(*map(F.lit, shares))), F.percentile("psi_primary", F.array(F.lit(0.005), F.lit(0.995)))).collect()}
-    weighted = with_date_weight(panel).select(*KEYS, "psi_primary", "phase_product", "weight")
-
-    def add(batches):
-        sums: dict = {}
-        for pdf in batches:
-            for k, g in pdf.groupby(list(KEYS)):
-                b = np.column_stack([b_splines(g["psi_primary"].to_numpy(), np.array(q[k][0])), np.ones(len(g))])
-                w, y = g["weight"].to_numpy(), g["phase_product"].to_numpy()
-                part = np.column_stack([b.T @ (b * w[:, None]), b.T @ (w * y)])
-                sums[k] = sums.get(k, 0) + part
-        if sums:
-            yield pd.DataFrame([(m, int(h), i, float(v)) for (m, h), x in sums.items() for i, v in enumerate(np.ravel(x))], columns=["return_mode", "horizon", "i", "v"])
-
-    parts = weighted.mapInPandas(add, "return_mode string, horizon int, i int, v double").groupBy(*KEYS, "i").agg(F.sum("v").alias("v"))
-    got: dict = {}
-    for m, h, i, v in parts.collect():
-        got.setdefault((m, h), {})[i] = v
-    rows = []
-    for k, x in sorted(got.items()):
-        n = len(q[k][0]) + 3
-        a = np.array([x[i] for i in range(len(x))]).reshape(n, n + 1)
-        penalty = np.diag([ridge] * (n - 1) + [1e-9])
-        beta = np.linalg.solve(a[:, :n] + penalty, a[:, n])
-        grid = np.linspace(*q[k][1], points)
-        fit = np.column_stack([b_splines(grid, np.array(q[k][0])), np.ones(points)]) @ beta
-        rows += [(*k, float(p), float(f)) for p, f in zip(grid, fit, strict=True)]
-    return spark.createDataFrame(rows, "return_mode string, horizon int, psi double, fit double")

@@ -174,8 +174,6 @@ QUERIES = {
     "root_clusters": _clusters,
     "isotonic_boundary": lambda s, d: models.isotonic_boundaries(panel(s, d)),
     "logistic_designs": lambda s, d: models.logistic_designs(panel(s, d)),
-    "spline_surface": lambda s, d: models.spline_curves(panel(s, d)),
-    "spline_surface_roots": lambda s, d: xs.zero_crossings(models.spline_curves(panel(s, d)), "psi", "fit", ("return_mode", "horizon")),
 }
 
 _FAM = "PARTITION BY return_mode, fold"
