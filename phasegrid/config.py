@@ -6,13 +6,10 @@ from dataclasses import dataclass
 
 # Fixed values.
 DEFAULT_HORIZONS = (5, 10, 21, 42, 63, 126)
-CRITICAL_GRID = (63, 72, 84, 96, 105, 112, 119, 126, 133, 140, 147, 168)
-FINE_GRID = tuple(range(120, 134))
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 SEED = 20260812
 HUBER_C = 1.345
 MAD_SCALE = 1.4826
-Q0_GRID = (0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90)
 MODES = ("market_residual", "raw")
 MARKET = "__MKT__"
 
@@ -50,3 +47,7 @@ class PanelConfig:
 
 #: Short windows for panels of a few thousand days.
 SMALL = PanelConfig(horizons=(5, 10, 21), vol_span=21, demean=63, spectral_window=252, beta_window=63, stride=1)
+
+#: The grids of a critical-horizon scan on such panels: the fine one has no gap and ends at the anchor, which is on the coarse one, too.
+COARSE_GRID, FINE_GRID, ANCHOR = (10, 21, 28, 35, 45, 52, 59, 63), (41, 42, 43, 44, 45), 45
+TAILS = PanelConfig(horizons=tuple(sorted({*COARSE_GRID, *FINE_GRID})), vol_span=21, demean=63, spectral_window=252, beta_window=63, stride=1)

@@ -38,7 +38,7 @@ def certified_folds(bands: DataFrame, alpha: float = 0.05) -> DataFrame:
     the larger of theirs, passes the step-down over the fold's horizons. A missing p of the first band makes p missing; one of the second is ignored. Ineligible horizons stay in the family."""
     first, second = (F.max(F.when(F.col("band") == i, F.col("p_lt0"))) for i in (0, 1))
     p = F.when(first.isNotNull(), F.greatest(first, F.coalesce(second, first)))
-    nested = F.sort_array(F.collect_list(F.struct("band", "estimate", "ci_hi", "p_lt0", "supported", "effect_pass", "ci_pass")))
+    nested = F.sort_array(F.collect_list(F.struct("band", "estimate", "ci_hi", "p_lt0", "supported", "effect_pass", "ci_pass", "n_test_rows")))
     g = bands.groupBy(*FOLD).agg(((F.count("*") == 2) & F.min("supported")).alias("eligible"), F.min(F.col("effect_pass") & F.col("ci_pass")).alias("_neg"), p.alias("p"), nested.alias("bands"))
     g = g.withColumn("tail_negative", F.col("eligible") & F.col("_neg")).drop("_neg")
     return inf.holm_stepdown(g, ("return_mode", "fold"), "p", alpha).withColumn("certified", F.col("tail_negative") & F.col("passes"))

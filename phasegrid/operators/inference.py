@@ -93,7 +93,53 @@ def fixed_sequence_gate(fine: DataFrame, anchors: DataFrame, anchor: int, alpha:
     down = Window.partitionBy(*keys).orderBy(F.col("horizon").desc())
     out = out.withColumn("_own", own)
     before = F.coalesce(F.min("_own").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)) & F.col("_anchor")
-    return out.withColumn("gate_active", before).withColumn("gate_pass", F.col("gate_active") & F.col("_own")).drop("_own", "_anchor")
+    return out.withColumn("gate_active", before).withColumn("gate_pass", F.col("gate_active") & F.col("_own")).withColumnRenamed("_own", "local_pass").drop("_anchor")
+
+
+def fixed_sequence_regimes(gated: DataFrame, min_folds: int = 3, min_fraction: float = 0.75) -> DataFrame:
+    """(return_mode, horizon, folds_total, required, local_support, support, support_fraction, root_free, root_free_fraction, regime) of gated folds: R where enough of all folds pass the gate, else UNRESOLVED.
+
+    local_support counts folds that pass by themselves, whatever the gate says above them.
+    """
+    g = gated.groupBy("return_mode", "horizon").agg(F.countDistinct("fold").alias("folds_total"), F.count_if("local_pass").alias("local_support"), F.count_if("gate_pass").alias("support"), F.count_if(F.col("n_roots") == 0).alias("root_free"))
+    g = g.withColumn("required", F.greatest(F.lit(min_folds), F.ceil(min_fraction * F.col("folds_total"))).cast("long"))
+    share = lambda c: F.col(c) / F.col("folds_total")
+    return g.select("return_mode", "horizon", "folds_total", "required", "local_support", "support", share("support").alias("support_fraction"), "root_free", share("root_free").alias("root_free_fraction"), F.when(F.col("support") >= F.col("required"), "R").otherwise("UNRESOLVED").alias("regime"))
+
+
+def refined_onset(fine: DataFrame, coarse: DataFrame, lower: int, upper: int, spacing: int, run: int = 3, tail: float = 0.8) -> DataFrame:
+    """(return_mode, identified, reason, hc_grid, hc_lower_exclusive, hc_midpoint, tail_r_fraction, strict_r_tail, anchors) of regimes (return_mode, horizon, regime) on a fine and a coarse grid.
+
+    From the certified anchor `upper` down through fine horizons, one by one, while they are R and none is missing. The onset holds if the first horizons at or beyond
+    onset + spacing, + 2 spacing, ... (run - 1 of them; coarse ones beyond the anchor) are R, no later one is M, and enough of the tail is R. reason says what fails. Regimes are some rows a mode.
+    """
+    fine = fine.filter((F.col("horizon") > lower) & (F.col("horizon") <= upper)).select("return_mode", "horizon", "regime")
+    down = Window.partitionBy("return_mode").orderBy(F.col("horizon").desc())
+    walk = fine.withColumn("_on", (F.col("horizon") == F.lit(upper + 1) - F.row_number().over(down)) & (F.min((F.col("regime") == "R").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)) == 1))
+    onset = walk.groupBy("return_mode").agg(F.min(F.when(F.col("_on"), F.col("horizon"))).alias("onset"))
+    every = fine.unionByName(coarse.filter(F.col("horizon") > upper).select("return_mode", "horizon", "regime"))
+    points = every.groupBy("return_mode").agg(F.sort_array(F.collect_list(F.struct(F.col("horizon").alias("h"), F.col("regime").alias("r")))).alias("p"))
+    out = onset.join(points, "return_mode").withColumn("p", F.filter("p", lambda x: x["h"] >= F.col("onset")))
+
+    def first_from(days: int) -> Column:
+        return F.get(F.filter("p", lambda x: x["h"] >= F.col("onset") + days), F.lit(0))
+
+    out = out.withColumn("_a", F.array(*(first_from(j * spacing) for j in range(run))))
+    share = F.size(F.filter("p", lambda x: x["r"] == "R")) / F.size("p")
+    held = F.forall("_a", lambda a: F.coalesce(a["r"] == "R", F.lit(False)))
+    reason = F.when(F.col("onset").isNull(), "coarse_upper_anchor_not_replicated_at_required_fold_support").when(~held, "refined_onset_lacks_coarse_scale_persistence_anchors").when(F.exists("p", lambda x: x["r"] == "M") | (share + 1e-15 < tail), "refined_tail_fails_persistence_fraction").otherwise("")
+    out = out.withColumn("reason", reason).withColumn("identified", F.col("reason") == "")
+    only = lambda c: F.when(F.col("identified"), c)
+    low = F.greatest(F.col("onset") - 1, F.lit(lower))
+    return out.select("return_mode", "identified", "reason", only(F.col("onset")).alias("hc_grid"), only(low).alias("hc_lower_exclusive"), only((low + F.col("onset")) / 2.0).alias("hc_midpoint"), only(share).alias("tail_r_fraction"), (F.col("identified") & (share == 1)).alias("strict_r_tail"), only(F.array_join(F.transform("_a", lambda a: a["h"]), ",")).alias("anchors"))
+
+
+def consensus_of_all_modes(onsets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, identified, hc_lower_exclusive, hc_grid, hc_midpoint, hc_months): the largest onset with its own lower end, if every mode that was tried has one."""
+    g = onsets.groupBy(*keys).agg(F.count("*").alias("n"), F.count("hc_grid").alias("k"), F.max(F.struct("hc_grid", "hc_lower_exclusive")).alias("m"))
+    only = lambda c: F.when(F.col("n") == F.col("k"), c)
+    h, low = F.col("m.hc_grid"), F.col("m.hc_lower_exclusive")
+    return g.select(*keys, (F.col("n") == F.col("k")).alias("identified"), only(low).alias("hc_lower_exclusive"), only(h).alias("hc_grid"), only((low + h) / 2.0).alias("hc_midpoint"), only(h / 21.0).alias("hc_months"))
 
 
 def runs(grid: DataFrame, keys: tuple[str, ...], flag: str) -> DataFrame:

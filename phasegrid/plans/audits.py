@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from phasegrid.config import SMALL
 from phasegrid.oracles.base import with_panel
-from phasegrid.plans.inference import _GRID, grid
+from phasegrid.plans.certification import GRID_SQL as _GRID
+from phasegrid.plans.certification import grid
 from phasegrid.plans.panels import KEY, panel, rounded
 from phasegrid.sources.tables import canonical_ticker, html_rows, table
 

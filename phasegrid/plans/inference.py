@@ -5,34 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.config import SEED, SMALL
+from phasegrid.config import ANCHOR, COARSE_GRID, SEED, SMALL
 from phasegrid.operators import crosssection as xs
 from phasegrid.operators import inference as inf
 from phasegrid.operators import models, splits
 from phasegrid.oracles.base import with_panel
 from phasegrid.oracles.bootstrap import bootstrap_sql
+from phasegrid.plans.certification import GRID_SQL, grid
 from phasegrid.plans.crosssection import _BIN, _Q, _ROBUST, _edges
 from phasegrid.plans.panels import KEY, cells, panel, rounded
 from phasegrid.sources.tables import table
 
-GRID = tuple(range(5, 55, 5))
+GRID, _GRID = COARSE_GRID, GRID_SQL
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(return_mode, fold, horizon, est, n, eligible, p, phase, certified, n_roots): a deterministic table of tests, from discounts by flag, line and quantity."""
-    line = table(spark, sf_dir, "lineitem")
-    keys = [F.col("l_returnflag").alias("return_mode"), (F.col("l_linenumber") % 4).cast("int").alias("fold"), (5 * F.ceil(F.col("l_quantity") / 5)).cast("int").alias("horizon")]
-    g = line.groupBy(*keys).agg(F.avg(0.05 - F.col("l_discount")).alias("est"), F.stddev_samp("l_discount").alias("sd"), F.count("*").alias("n"))
-    g = g.withColumn("eligible", F.col("n") % 5 != 0)
-    g = g.withColumn("p", F.when(F.col("eligible"), F.round(1 / (1 + F.exp(-1.702 * F.col("est") / (F.col("sd") / F.sqrt("n")))), 10)))
-    g = g.withColumns({"phase": F.when(F.col("est") < 0, "R").otherwise("M"), "n_roots": F.col("n") % 3})
-    return g.withColumn("certified", F.col("eligible") & ((F.col("p") <= 0.4) | (F.col("p") >= 0.6))).drop("sd")
-
-
-_GRID = """WITH g0 AS (SELECT l_returnflag AS return_mode, (l_linenumber % 4)::INT AS fold, (5 * ceil(l_quantity / 5))::INT AS horizon, avg(0.05 - l_discount) AS est, stddev_samp(l_discount) AS sd, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
-g1 AS (SELECT *, n % 5 <> 0 AS eligible, CASE WHEN n % 5 <> 0 THEN round(1 / (1 + exp(-1.702 * est / (sd / sqrt(n)))), 10) END AS p, CASE WHEN est < 0 THEN 'R' ELSE 'M' END AS phase, n % 3 AS n_roots FROM g0),
-grid AS (SELECT *, eligible AND coalesce(p <= 0.4 OR p >= 0.6, false) AS certified FROM g1)"""
-
 _FAMILY = ("return_mode", "fold")
 
 
@@ -55,8 +41,8 @@ _FLAGS = _reg(1, 0.25) + ", fl AS (SELECT *, r_support >= required AS is_r, m_su
 
 def _gate(s, d):
     g = grid(s, d)
-    a = g.filter("horizon = 50").select("return_mode", "fold", (F.col("certified") | (F.col("fold") == 1)).alias("certified_r"))
-    return inf.fixed_sequence_gate(g, a, 50, 0.6).select("return_mode", "fold", "horizon", "gate_active", "gate_pass")
+    a = g.filter(F.col("horizon") == ANCHOR).select("return_mode", "fold", (F.col("certified") | (F.col("fold") == 1)).alias("certified_r"))
+    return inf.fixed_sequence_gate(g, a, ANCHOR, 0.6).select("return_mode", "fold", "horizon", "gate_active", "gate_pass")
 
 
 def _onsets(s, d):
@@ -71,7 +57,7 @@ def _select(s, d):
         both = []
         for half in (0, 1):
             r = inf.regimes_of_all_folds(g.filter(F.col("fold") % 2 == half), 1, q).withColumn("f", F.col("r_support") >= F.col("required")).withColumn("q0", F.lit(q))
-            both.append(inf.consensus_onset(inf.tail_onset(r, ("return_mode", "q0"), list(GRID), "f", 1, 0.3), ("q0",), 3).withColumnRenamed("hc_grid", f"hc_{half}").drop("identified"))
+            both.append(inf.consensus_onset(inf.tail_onset(r, ("return_mode", "q0"), list(GRID), "f", 1, 0.3), ("q0",), 2).withColumnRenamed("hc_grid", f"hc_{half}").drop("identified"))
         c = both[0].join(both[1], "q0")
         out = c if out is None else out.unionByName(c)
     out = out.filter("hc_0 IS NOT NULL AND hc_1 IS NOT NULL").withColumn("delta", F.abs(F.col("hc_0") - F.col("hc_1")))
@@ -84,7 +70,7 @@ def _select_sql() -> str:
         for h in (0, 1):
             parts.append(f"""o{h}_{int(q * 100)} AS (SELECT return_mode, min(horizon) AS hc FROM (SELECT return_mode, horizon, f, avg(f::INT) OVER (PARTITION BY return_mode ORDER BY horizon ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM
   (SELECT return_mode, horizon, count(*) FILTER (certified AND phase = 'R') >= greatest(1, ceil({q} * count(DISTINCT fold))) AS f FROM grid WHERE fold % 2 = {h} GROUP BY 1, 2)) WHERE f AND tail >= 0.3 GROUP BY 1)""")
-    union = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q0, (SELECT CASE WHEN count(*) >= 3 THEN max(hc) END FROM o0_{int(q * 100)}) AS hc_0, (SELECT CASE WHEN count(*) >= 3 THEN max(hc) END FROM o1_{int(q * 100)}) AS hc_1" for q in (0.25, 0.5))
+    union = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q0, (SELECT CASE WHEN count(*) >= 2 THEN max(hc) END FROM o0_{int(q * 100)}) AS hc_0, (SELECT CASE WHEN count(*) >= 2 THEN max(hc) END FROM o1_{int(q * 100)}) AS hc_1" for q in (0.25, 0.5))
     return f"{_GRID}, {', '.join(parts)}, u AS ({union}) SELECT q0, hc_0, hc_1, abs(hc_0 - hc_1) AS delta FROM u WHERE hc_0 IS NOT NULL AND hc_1 IS NOT NULL ORDER BY delta, q0 LIMIT 1"
 
 
@@ -159,7 +145,7 @@ QUERIES = {
     "modal_phase": lambda s, d: inf.modal_phase(grid(s, d)),
     "onset_persistent": lambda s, d: rounded(inf.persistent_onset(_flags(s, d), ("return_mode",), run=2, tail=0.4)),
     "onset_tail_fraction": _onsets,
-    "consensus_onset": lambda s, d: inf.consensus_onset(_onsets(s, d).withColumn("scope", F.lit("all")), ("scope",), 3),
+    "consensus_onset": lambda s, d: inf.consensus_onset(_onsets(s, d).withColumn("scope", F.lit("all")), ("scope",), 2),
     "fixed_sequence_gate": _gate,
     "flag_runs": lambda s, d: inf.runs(_flags(s, d), ("return_mode",), "is_r"),
     "tail_guard": lambda s, d: rounded(inf.tail_guard(inf.regimes_of_all_folds(grid(s, d), 1, 0.25), ("return_mode",), 30)),
@@ -179,8 +165,8 @@ QUERIES = {
 _FAM = "PARTITION BY return_mode, fold"
 _UP = f"({_FAM} ORDER BY p NULLS LAST, horizon)"
 _P = lambda rest: with_panel(KEY, SMALL, rest)
-_GATE = f"""{_GRID}, a AS (SELECT return_mode, fold, certified OR fold = 1 AS anchor FROM grid WHERE horizon = 50),
-o AS (SELECT g.*, coalesce(anchor, false) AS anchor, CASE WHEN horizon = 50 THEN coalesce(anchor, false) ELSE coalesce(eligible AND certified AND phase = 'R' AND p <= 0.6, false) END AS own FROM grid g LEFT JOIN a USING (return_mode, fold)),
+_GATE = f"""{_GRID}, a AS (SELECT return_mode, fold, certified OR fold = 1 AS anchor FROM grid WHERE horizon = {ANCHOR}),
+o AS (SELECT g.*, coalesce(anchor, false) AS anchor, CASE WHEN horizon = {ANCHOR} THEN coalesce(anchor, false) ELSE coalesce(eligible AND certified AND phase = 'R' AND p <= 0.6, false) END AS own FROM grid g LEFT JOIN a USING (return_mode, fold)),
 b AS (SELECT *, coalesce(bool_and(own) OVER ({_FAM} ORDER BY horizon DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AND anchor AS gate_active FROM o)"""
 _TAIL = "(PARTITION BY return_mode ORDER BY horizon ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 _NEXT = "(PARTITION BY return_mode ORDER BY horizon ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)"
@@ -206,7 +192,7 @@ ORACLES = {
     "modal_phase": f"{_GRID}, a AS (SELECT return_mode, horizon, phase, count(*) AS support FROM grid WHERE certified GROUP BY 1, 2, 3) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY return_mode, horizon ORDER BY support DESC, phase) = 1",
     "onset_persistent": f"{_ONSET}, h AS (SELECT * FROM f1 WHERE run AND NOT any_m AND tail_fraction + 1e-15 >= 0.4 QUALIFY row_number() OVER (PARTITION BY return_mode ORDER BY horizon) = 1) SELECT return_mode, horizon AS hc_grid, lo AS hc_lower_exclusive, round(tail_fraction, 6) AS tail_fraction, tail_fraction = 1 AS strict_tail FROM h",
     "onset_tail_fraction": f"{_TON} SELECT return_mode, hc_grid IS NOT NULL AS identified, hc_grid FROM onset",
-    "consensus_onset": f"{_TON} SELECT 'all' AS scope, count(hc_grid) >= 3 AS identified, CASE WHEN count(hc_grid) >= 3 THEN max(hc_grid) END AS hc_grid FROM onset",
+    "consensus_onset": f"{_TON} SELECT 'all' AS scope, count(hc_grid) >= 2 AS identified, CASE WHEN count(hc_grid) >= 2 THEN max(hc_grid) END AS hc_grid FROM onset",
     "fixed_sequence_gate": f"{_GATE} SELECT return_mode, fold, horizon, gate_active, gate_active AND own AS gate_pass FROM b",
     "flag_runs": f"{_FLAGS}, i AS (SELECT *, row_number() OVER (PARTITION BY return_mode ORDER BY horizon) AS i FROM fl), j AS (SELECT *, i - row_number() OVER (PARTITION BY return_mode ORDER BY horizon) AS grp FROM i WHERE is_r) SELECT return_mode, min(horizon) AS run_start, max(horizon) AS run_end, count(*) AS n FROM j GROUP BY return_mode, grp",
     "tail_guard": f"{_reg(1, 0.25)}, t AS (SELECT return_mode, avg((regime = 'R')::INT) AS r_fraction, count(*) FILTER (regime = 'M') AS n_m, arg_max(regime, horizon) AS last FROM regimes WHERE horizon >= 30 GROUP BY 1) SELECT return_mode, round(r_fraction, 6) AS r_fraction, n_m, last, r_fraction >= 0.8 AND n_m = 0 AND last = 'R' AS passes FROM t",

@@ -39,16 +39,16 @@ def built_panel(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConf
 
 def panel(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
     """The stored panel: built when first asked for, then read by mode and horizon."""
-    return kept(spark, f"panel-{key}-{canonical_hash(asdict(cfg))[:12]}", _sources(sf_dir), lambda: built_panel(spark, sf_dir, key, cfg), write_panel)
+    return kept(spark, f"panel-{key}-{canonical_hash(asdict(cfg))[:12]}", panel_sources(sf_dir), lambda: built_panel(spark, sf_dir, key, cfg), write_panel)
 
 
 def cells(spark: SparkSession, sf_dir: str, key: str = KEY, cfg: PanelConfig = SMALL) -> DataFrame:
     """The stored panel with percentiles and robust responses, stored, too."""
     made = lambda: xs.with_robust_response(xs.with_percentile(panel(spark, sf_dir, key, cfg)))
-    return kept(spark, f"cells-{key}-{canonical_hash(asdict(cfg))[:12]}", _sources(sf_dir), made, write_panel)
+    return kept(spark, f"cells-{key}-{canonical_hash(asdict(cfg))[:12]}", panel_sources(sf_dir), made, write_panel)
 
 
-def _sources(sf_dir: str) -> list[str]:
+def panel_sources(sf_dir: str) -> list[str]:
     return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]
 
 
