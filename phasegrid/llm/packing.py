@@ -17,8 +17,8 @@ from phasegrid.llm import worker_memory
 from phasegrid.llm.common import gapless_rank, small_batches, stored, table
 
 END_ID = 1
-#: Words, and letter runs, whose ids a worker remembers in each of two generations; when the young one is full, it replaces the old one.
-CACHE = 200_000
+#: Words, and letter runs, whose ids a worker remembers in each of two generations; when the young one is full, it replaces the old one. About 200 bytes each.
+CACHE = 80_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _known: dict[str, _Known] = {}
@@ -33,12 +33,13 @@ def tokenizer_path() -> str:
 class _Memory:
     """A bounded dict."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = CACHE) -> None:
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
     def turn(self) -> None:
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.young, self.old = {}, self.young
 
     def missing(self, wanted: set) -> set:

@@ -20,6 +20,8 @@ from phasegrid.llm.packing import _runs as text_runs
 #: Characters of a chunk of a huge text, and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 1 << 16, 256
 LIMIT = 1024
+#: Words, and parts of words, whose counts a worker remembers in each of two generations.
+WORDS = 200_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r"!-/:-@\[-`{-~"
 #: Between these two characters the vocabulary's splitter always splits, whatever stands around: before white space, and where letters, digits and punctuation change (but an apostrophe may take letters after it).
@@ -50,7 +52,7 @@ class _Counts:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
-        self.words, self.parts = _Memory(), _Memory()
+        self.words, self.parts = _Memory(WORDS), _Memory(WORDS)
 
     def starts(self, text: str) -> np.ndarray:
         """First character of each token."""
