@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from phasegrid.plans import audits, certification, crosssection, inference, panels, roots, splits, surfaces
+from phasegrid.plans import audits, certification, crosssection, inference, isotonic, panels, roots, splits, surfaces
 
 
-_MODULES = (panels, crosssection, splits, inference, certification, roots, surfaces, audits)
+_MODULES = (panels, crosssection, splits, inference, certification, roots, surfaces, isotonic, audits)
 
 
 def flagship(spark, sf_dir: str):

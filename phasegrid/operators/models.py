@@ -1,47 +1,15 @@
-"""Fits on the panel: isotonic boundaries, logistic designs, spline ridge curves. Normal equations and counts are summed by Spark; the driver solves small systems."""
+"""Logistic fits on the panel by Spark's own estimator."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.operators.crosssection import with_date_weight
 from phasegrid.operators.inference import score_metrics
-
-KEYS = ("return_mode", "horizon")
-
-
-def _clipped(panel: DataFrame) -> DataFrame:
-    """psi held within its 0.5 and 99.5 percent quantiles."""
-    q = panel.groupBy(*KEYS).agg(F.percentile("psi_primary", F.array(F.lit(0.005), F.lit(0.995))).alias("_q"))
-    out = panel.join(F.broadcast(q), list(KEYS))
-    return out.withColumn("x", F.greatest(F.least("psi_primary", F.get("_q", F.lit(1))), F.get("_q", F.lit(0)))).drop("_q")
-
-
-def isotonic_boundaries(panel: DataFrame, steps: int = 4096) -> DataFrame:
-    """(return_mode, horizon, boundary): where the isotonic chance of momentum, dates weighing alike, first reaches a half; null if nowhere. One fit for each mode and horizon."""
-    spark, rows = panel.sparkSession, []
-    data = with_date_weight(_clipped(panel)).select(*KEYS, "x", F.col("phase_label").alias("label"), "weight").persist()
-    for mode, h in sorted(tuple(r) for r in data.select(*KEYS).distinct().collect()):
-        own = data.filter((F.col("return_mode") == mode) & (F.col("horizon") == h))
-        fit = IsotonicRegression(featuresCol="x", weightCol="weight").fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(own).drop("x").withColumnRenamed("v", "x"))
-        at, p = fit.boundaries.toArray(), fit.predictions.toArray()
-        grid = np.linspace(at[0], at[-1], steps)
-        y = np.interp(grid, at, p)
-        hit = np.flatnonzero(y >= 0.5)
-        edge = None
-        if len(hit):
-            j = int(hit[0])
-            edge = float(grid[0]) if j == 0 else float(grid[j - 1] + (0.5 - y[j - 1]) * (grid[j] - grid[j - 1]) / (y[j] - y[j - 1]))
-        rows.append((mode, h, edge))
-    data.unpersist()
-    return spark.createDataFrame(rows, "return_mode string, horizon int, boundary double")
-
+from phasegrid.sources.store import stored
 
 def logistic_designs(panel: DataFrame, c: float = 1.0, split: str = "1999-01-01") -> DataFrame:
     """(return_mode, design, brier, log_loss, auc, ...) on later rows of logistic fits to earlier ones: horizon only, spectral, controls, both."""
@@ -55,7 +23,7 @@ def logistic_designs(panel: DataFrame, c: float = 1.0, split: str = "1999-01-01"
     stats = early.agg(*(F.median(x).alias(f"m_{x}") for x in spectral + control), *(F.avg(x).alias(f"a_{x}") for x in spectral + control), *(F.stddev_pop(x).alias(f"s_{x}") for x in spectral + control)).first()
     for x in spectral + control:
         data = data.withColumn(x, (F.coalesce(F.col(x), F.lit(stats[f"m_{x}"])) - stats[f"a_{x}"]) / (stats[f"s_{x}"] or 1.0))
-    data = with_date_weight(data, ("return_mode",)).persist()
+    data = stored(with_date_weight(data, ("return_mode",)), "design-rows")
     for mode in sorted(r[0] for r in data.select("return_mode").distinct().collect()):
         own = data.filter(F.col("return_mode") == mode)
         train, test = own.filter(F.col("date") < split), own.filter(F.col("date") >= split)

@@ -26,15 +26,16 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float] | dict[tu
     every = sorted({float(p) for own in shares.values() for p in own}) if isinstance(shares, dict) else [float(p) for p in shares]
     of = (lambda k: [float(p) for p in shares.get(k, ())]) if isinstance(shares, dict) else (lambda k: every)
     while True:
-        around = sorted({min(1.0, max(0.0, p + d)) for p in every for d in (-bracket, bracket)}) or [0.5]
-        sketch = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, around)), F.lit(int(4 / bracket))).alias("a")).collect()
+        around = sorted({min(1.0, max(0.0, p + d)) for p in every for d in (-2 * bracket, 2 * bracket)}) or [0.5]
+        sketch = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, around)), F.lit(max(100, int(4 / bracket)))).alias("a")).collect()
         place = {p: i for i, p in enumerate(around)}
         marks, size = [], {}
         for r in sketch:
             k = tuple(r[x] for x in keys)
             size[k] = r["n"]
-            low = [float("-inf") if p - bracket <= 0 else r["a"][place[p - bracket]] for p in of(k)]
-            high = [float("inf") if p + bracket >= 1 else r["a"][place[p + bracket]] for p in of(k)]
+            few = r["n"] * bracket < 4  # a group of some thousand rows is counted whole
+            low = [float("-inf") if few or p - 2 * bracket <= 0 else r["a"][place[p - 2 * bracket]] for p in of(k)]
+            high = [float("inf") if few or p + 2 * bracket >= 1 else r["a"][place[p + 2 * bracket]] for p in of(k)]
             if low:
                 marks.append((*k, [(i, lo, hi) for i, (lo, hi) in enumerate(zip(low, high, strict=True))]))
         most = max((len(m[-1]) for m in marks), default=0)

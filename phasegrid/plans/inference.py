@@ -158,7 +158,6 @@ QUERIES = {
     "bootstrap_ci_a": lambda s, d: rounded(_boot(21)(s, d)),
     "bootstrap_ci_b": lambda s, d: rounded(_boot(None)(s, d)),
     "root_clusters": _clusters,
-    "isotonic_boundary": lambda s, d: models.isotonic_boundaries(panel(s, d)),
     "logistic_designs": lambda s, d: models.logistic_designs(panel(s, d)),
 }
 
