@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
+import json
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -61,18 +65,33 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256(repr(parts).encode()).hexdigest()
 
 
+@functools.cache
+def code_version() -> str:
+    """Changes when the modules that make kept tables do."""
+    here = Path(__file__).resolve().parents[1]
+    files = [here / "config.py", *sorted(f for d in ("sources", "operators", "plans") for f in (here / d).glob("*.py"))]
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()
+
+
 def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None]) -> DataFrame:
-    """The table that build makes of the files at sources. Built once: later calls, of any application with this shared folder, read it, until sources change.
+    """The table that build makes of the files at sources. Built once: later calls, of any application with this shared folder, read it, until sources or the library change.
 
     write puts a frame at a path, which appears as a whole or not at all; of two that build at once the first one stays.
     """
-    path = f"{shared_dir(spark)}/kept-{name}-{fingerprint(spark, *sources)[:24]}"
+    path = f"{shared_dir(spark)}/kept-{name}-{code_version()[:12]}-{fingerprint(spark, *sources)[:24]}"
     p, fs = _path(spark, f"{path}/_SUCCESS")
     if not fs.exists(p):
         draft = f"{path}-{uuid.uuid4().hex}"
         frame = build()
         write(frame, draft)
+        # an empty table has no files that would show its columns
+        out = fs.create(_path(spark, f"{draft}/_schema")[0])
+        out.write(bytearray(frame.schema.json().encode()))
+        out.close()
         if not fs.rename(_path(spark, draft)[0], _path(spark, path)[0]) or fs.exists(_path(spark, f"{path}/{draft.rsplit('/', 1)[-1]}")[0]):
             for left in (draft, f"{path}/{draft.rsplit('/', 1)[-1]}"):
                 fs.delete(_path(spark, left)[0], True)
-    return spark.read.parquet(path)
+    told = fs.open(_path(spark, f"{path}/_schema")[0])
+    schema = StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(told, "UTF-8")))
+    told.close()
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

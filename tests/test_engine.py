@@ -13,7 +13,7 @@ from phasegrid.functions import protocol as pr
 from phasegrid.operators import certification as cert
 from phasegrid.operators import crosssection as xs
 from phasegrid.operators import inference as inf
-from phasegrid.operators import models, series, splits
+from phasegrid.operators import series, splits
 from phasegrid.sources.tables import canonical_ticker, normalized_bars, read_universe
 
 DAYS = pd.bdate_range("2000-01-03", periods=700).date
@@ -169,7 +169,7 @@ def test_roots_clusters_metrics(spark):
     roots = xs.zero_crossings(curve, "q", "y", ("k",)).orderBy("root").collect()
     assert [r.direction for r in roots] == ["R_to_M", "M_to_R"] and abs(roots[0].root - 0.35) < 0.02
     assert xs.phase_path(curve, "q", "y", ("k",)).first().path == "R→M→R"
-    found = spark.createDataFrame([("raw", f, 21, "R_to_M", q) for f, q in enumerate((0.39, 0.41, 0.40, 0.72))], "return_mode string, fold int, horizon int, direction string, root_quantile double")
+    found = spark.createDataFrame([("raw", f, 21, "R_to_M", 2 * q, q) for f, q in enumerate((0.39, 0.41, 0.40, 0.72))], "return_mode string, fold int, horizon int, direction string, root double, root_quantile double")
     got = inf.cluster_roots(found).orderBy("cluster").collect()
     assert (got[0].support, round(got[0].root_quantile, 9), len(got)) == (3, 0.40, 2)
     s = spark.createDataFrame([("a", 0.2, 0.0, 1.0), ("a", 0.8, 1.0, 1.0), ("a", 0.8, 0.0, 1.0), ("b", 0.5, 1.0, 1.0)], "k string, s double, y double, w double")
@@ -177,17 +177,6 @@ def test_roots_clusters_metrics(spark):
     assert auc == {"a": 0.75, "b": None}
 
 
-def test_spline_finds_curvature(spark):
-    rng = np.random.default_rng(4)
-    x = rng.uniform(-1.8, 1.8, 4000)
-    y = 0.62 - x**2 + rng.normal(0, 0.2, 4000)
-    df = spark.createDataFrame([("raw", 21, DAYS[i % 200], float(a), float(b), float(b > 0)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "return_mode string, horizon int, date date, psi_primary double, phase_product double, phase_label double")
-    roots = sorted(r.root for r in xs.zero_crossings(models.spline_curves(df), "psi", "fit", ("return_mode", "horizon")).collect())
-    np.testing.assert_allclose(roots, [-0.787, 0.787], atol=0.1)
-    b = models.b_splines(np.linspace(-1, 1, 50), np.linspace(-1, 1, 7))
-    np.testing.assert_allclose(b.sum(1), 1.0)
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "u.csv").write_text("ticker,asset_class\n aaa ,x\nAAA,y\nb.b,z\n,q\n")
     got = {r.ticker: r.asset_class for r in read_universe(spark, str(tmp_path / "u.csv")).collect()}
