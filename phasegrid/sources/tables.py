@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.config import MARKET
+from phasegrid.functions.protocol import canonical_hash, tickers_hash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,3 +117,49 @@ def write_panel(panel: DataFrame, path: str) -> None:
 def html_rows(pages: DataFrame, pattern: str = r"<(?:p|li|td)[^>]*>([^<]+)</") -> DataFrame:
     """(page_id, place, cell): cells of web pages by pattern."""
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("place", "cell")).withColumn("cell", F.trim("cell")).filter("cell <> ''")
+
+
+def with_metadata(panel: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """The columns of a panel, and its metadata, collected in the scan of the first job on them: rows, tickers, modes, horizons, first and last date.
+
+    Sets of tickers, modes and horizons are small. audit_metadata() reads the observation after that job.
+    """
+    seen = Observation("panel")
+    out = panel.observe(seen, F.count(F.lit(1)).alias("rows"), F.collect_set("ticker").alias("tickers"), F.collect_set("return_mode").alias("return_modes"), F.collect_set("horizon").alias("horizons"), F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+    return out.select(*columns), seen
+
+
+def audit_metadata(seen: Observation) -> dict:
+    """What with_metadata() saw, with sorted sets, hashes of the tickers and of the whole."""
+    got = seen.get
+    meta = {"rows": got["rows"], "tickers": sorted(got["tickers"]), "return_modes": sorted(got["return_modes"]), "horizons": sorted(got["horizons"]), "date_min": str(got["date_min"]), "date_max": str(got["date_max"])}
+    meta |= {"ticker_count": len(meta["tickers"]), "ticker_set_sha256": tickers_hash(meta["tickers"])}
+    return meta | {"metadata_sha256": canonical_hash({k: v for k, v in meta.items() if k != "tickers"}, "plain")}
+
+
+def compact_panel(panel: DataFrame, horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """The five columns that analyses use, in their types; tickers in canonical form; rows with nulls in them dropped."""
+    own = panel if horizons is None else panel.filter(F.col("horizon").isin(*horizons))
+    out = own.select(F.to_date("date").alias("date"), canonical_ticker(F.col("ticker")).alias("ticker"), F.col("return_mode").cast("string").alias("return_mode"), F.col("horizon").cast("int").alias("horizon"), F.col("psi_primary").cast("double").alias("psi_primary"), F.col("phase_product").cast("double").alias("phase_product"))
+    return out.dropna()
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header, or no rows of the schema where the file is missing, empty or only a header: no certified row is a result, too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or fs.getContentSummary(p).getLength() == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+
+
+def write_document(spark: SparkSession, doc: dict, path: str) -> None:
+    """A protocol or summary as JSON with sorted keys, at a path that Spark can reach; refuses to overwrite."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    out.write(bytearray(json.dumps(doc, sort_keys=True, indent=2, default=str).encode()))
+    out.close()
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first().value)

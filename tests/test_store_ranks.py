@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators import inference as inf
 from phasegrid.operators import ranks
-from phasegrid.sources import store
+from phasegrid.sources import store, tables
 from phasegrid.sources.tables import read_panel, write_panel
 
 
@@ -69,6 +69,32 @@ def test_panels_are_written_by_mode_and_horizon_and_read_in_part(spark, tmp_path
     assert read_panel(spark, str(tmp_path / "p.csv"), ["ticker", "psi_primary"], (2,)).count() == 2
 
 
+def test_metadata_comes_from_the_same_scan(spark):
+    rows = [(f"2026-01-0{1 + i % 3}", t, m, h, 0.1 if h > 63 else None, -0.2) for i, t in enumerate(("A.B", "CC", "DD")) for m in ("raw", "market_residual") for h in (63, 126)]
+    df = spark.createDataFrame(rows, "date string, ticker string, return_mode string, horizon int, psi_primary double, phase_product double")
+    part, seen = tables.with_metadata(df, ["horizon", "psi_primary"])
+    assert part.filter("psi_primary IS NOT NULL").count() == 6
+    meta = tables.audit_metadata(seen)
+    assert (meta["rows"], meta["ticker_count"], meta["tickers"], meta["horizons"], meta["date_min"], meta["date_max"]) == (12, 3, ["A.B", "CC", "DD"], [63, 126], "2026-01-01", "2026-01-03")
+    assert meta["ticker_set_sha256"] == __import__("hashlib").sha256(b"A.B\nCC\nDD").hexdigest()
+    small = tables.compact_panel(df, (126,))
+    assert small.count() == 6 and small.filter("ticker = 'A-B'").count() == 2 and dict(small.dtypes)["date"] == "date" and tables.compact_panel(df).count() == 6
+
+
+def test_empty_results_and_documents(spark, tmp_path):
+    kinds = "return_mode string, horizon int, root double"
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "head.csv").write_text("return_mode,horizon,root\n")
+    (tmp_path / "one.csv").write_text("return_mode,horizon,root\nraw,21,0.5\n")
+    for name, n in (("none.csv", 0), ("empty.csv", 0), ("head.csv", 0), ("one.csv", 1)):
+        got = tables.read_or_empty(spark, str(tmp_path / name), kinds)
+        assert got.columns == ["return_mode", "horizon", "root"] and got.count() == n
+    tables.write_document(spark, {"b": [1, 2], "a": "é"}, str(tmp_path / "p.json"))
+    assert tables.read_document(spark, str(tmp_path / "p.json")) == {"a": "é", "b": [1, 2]}
+    with pytest.raises(Exception, match="exist"):
+        tables.write_document(spark, {}, str(tmp_path / "p.json"))
+
+
 def regimes(spark, pairs):
     return spark.createDataFrame([("raw", h, r) for h, r in pairs], "return_mode string, horizon int, regime string")
 
