@@ -18,7 +18,7 @@ from phasegrid.llm.common import gapless_rank, small_batches, stored, table
 
 END_ID = 1
 #: Words, and letter runs, whose ids a worker remembers in each of two generations; when the young one is full, it replaces the old one. About 200 bytes each.
-CACHE = 80_000
+CACHE = 130_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _known: dict[str, _Known] = {}
