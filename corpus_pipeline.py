@@ -15,6 +15,8 @@ from phasegrid.llm.quality_model import classify
 
 #: Pieces in a packed sequence.
 MOST_DOCS = 64
+#: Words that a packing worker remembers in each generation: fewer than the operator's own choice, since earlier stages left executors' heaps large.
+REMEMBER = 40_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Their token ids in sequences of at most 4096, and of at most MOST_DOCS pieces; null and empty texts are one end mark, repeated rows repeated pieces."""
-    return pack(stored(pieces(docs.select("doc_id", "text"), 4096), "pieces"), 4096, most_docs=MOST_DOCS)
+    return pack(stored(pieces(docs.select("doc_id", "text"), 4096, remember=REMEMBER), "pieces"), 4096, most_docs=MOST_DOCS)
 
 
 STAGES = [

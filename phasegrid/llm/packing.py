@@ -123,11 +123,12 @@ def _runs(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, keep_ids: bool = False, remember: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each row's ids and END_ID, cut every `limit` ids.
 
     path: a vocabulary of kind "word ends, white space dropped", readable on every executor. Null and empty texts
-    give one piece, END_ID alone; repeated rows give repeated pieces.
+    give one piece, END_ID alone; repeated rows give repeated pieces. remember: words a worker keeps in each generation; fewer
+    take less memory and more time, and change no result.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
@@ -140,6 +141,7 @@ def pieces(docs: DataFrame, limit: int = 4096, path: str | None = None, keep_ids
         if path not in here._known:
             here._known[path] = here._Known(path)
         known = here._known[path]
+        known.words.size = known.runs.size = remember
         for b in batches:
             for lo, hi in _runs(b.column(1)):
                 out: list[tuple] = []

@@ -380,6 +380,11 @@ def check_pack(rows, limit=4096):
     return len(seqs)
 
 
+def test_pieces_are_the_same_whatever_is_remembered(docs):
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(packing.pieces(docs, 300, remember=20)) == key(packing.pieces(docs, 300))
+
+
 def test_packing_equals_plain_tokenizer(docs, odd):
     from tokenizers import Tokenizer
 
