@@ -6,6 +6,8 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _owner: list[str] = []
 _drops: dict[str, Callable[[], None]] = {}
 
@@ -21,6 +23,7 @@ def start(name: str, drop: Callable[[], None] | None = None) -> None:
             f()
     _owner[:] = [name]
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
