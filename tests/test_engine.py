@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -208,3 +209,31 @@ def test_protocol_locks():
     with pytest.raises(ValueError):
         pr.check_horizons([119, 133], [120, 122], [119, 120, 122, 133], 133)
     assert pr.assess(True, False, True) == {"confirmed": False, "missing": ["localization"]}
+
+
+def _explained(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_bars_compare_whole_order_keys_of_few_trades_only(spark):
+    """No aggregate of all trades holds a struct, for which Spark would sort each task's rows; ties in the first field, missing fields and missing keys come out as before."""
+    from phasegrid.sources import tables
+
+    seen = []
+
+    def ends(rows):
+        seen.append(rows)
+        return trades.join(rows, F.xxhash64("date", "lead") == F.col("_h"))
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0, 1, None]), rng.random(), 1.0 + rng.randrange(3), rng.random(), rng.choice([1, 2, 2, 9, None]), i) for i in range(400)]
+    trades = spark.createDataFrame(rows, "ticker string, day int, price double, volume double, discount double, k long, l int")
+    trades = trades.select("ticker", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).alias("date"), "price", "volume", "discount", F.struct("k", "l").alias("seq"), F.coalesce("k", F.lit(-(2**63))).alias("lead"))
+    want = trades.groupBy("ticker", "date").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("volume").alias("volume"))
+    order = lambda r: tuple((x is None, x) for x in map(str, r))
+    for out in (tables.trade_bars(trades), tables.trade_bars(trades, ends)):
+        got = out.select("ticker", "date", "open", "high", "low", "close", "volume")
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(map(tuple, want.collect()), key=order)
+    assert seen[0].count() <= 2 * want.count()
+    market = _explained(tables.asset_and_market_bars(spark, "/root/testdata/sf0.001")[1]).split("== Physical Plan ==")[1]
+    assert "SortAggregate" in market and market.index("Join") > market.index("SortAggregate")
