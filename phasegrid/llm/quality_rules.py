@@ -7,13 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import SPACE, table
+from phasegrid.llm.common import SPACE, drop_stored, stored, table
 
 #: Hash buckets of words, of word ends (the last END characters of a word) and of pairs of adjacent words, one block after the other.
 WORD_BUCKETS, END_BUCKETS, PAIR_BUCKETS, END = 8192, 2048, 16384, 2
 BLOCKS = ((0, WORD_BUCKETS), (WORD_BUCKETS, WORD_BUCKETS + END_BUCKETS), (WORD_BUCKETS + END_BUCKETS, WORD_BUCKETS + END_BUCKETS + PAIR_BUCKETS))
-#: At most so many trusted labelled documents fit the target multinomial; those whose ids have the smallest hashes.
-TARGET_ROWS = 50_000
 #: A document is dropped if its score lies so many standard deviations of trusted scores below their mean.
 DEVIATIONS = 5.0
 #: ... and at least so many nats a word below it, so that narrow trusted scores reject no document for rare words.
@@ -86,11 +84,11 @@ def grams(g: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(target / raw) of each bucket: smoothed multinomials of words, of word ends and of word pairs, over the trusted and over all documents.
 
-    trusted: (doc_id), at most TARGET_ROWS rows. The counts are summed within tasks before they are shuffled; the
+    trusted: distinct (doc_id), any number: texts are shuffled to them once, since ids that grow with the corpus are nothing to broadcast. The counts are summed within tasks before they are shuffled; the
     driver sees one row a bucket.
     """
     t = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(t), F.col("doc_id") == F.col("_id"), "left")
+    marked = docs.select("doc_id", "text").join(t.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     each = marked.select(word_hashes(F.col("text")).alias("g"), F.coalesce("_t", F.lit(0)).alias("t")).select("t", F.explode(grams(F.col("g"))).alias("k"))
     raw, goal = [0] * BLOCKS[-1][1], [0] * BLOCKS[-1][1]
     for k, n, m in each.groupBy("k").agg(F.count("*"), F.sum("t")).collect():
@@ -117,39 +115,39 @@ def likelihood_score(g: Column, ratios: list[float]) -> Column:
     return F.when(F.size(g) > 0, F.aggregate(g, start, add)["x"] / F.size(g)).otherwise(0.0)
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
-    """At most so many ids of documents labelled as good and not toxic, by hash of the id."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled as good and not toxic."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id").distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr_score and kept.
 
     kept is false if a base rule fails or the score lies more than `deviations` standard deviations, and more than
     LEAST_GAP, below the mean of the trusted documents; without trusted documents the base rules decide. Null and empty text: no words, so base_failed.
-    Repeated rows are judged alike; docs' other columns stay, but those named like a new one are replaced; an empty table gives no rows.
+    Repeated rows are judged alike; docs' other columns (of them those in `keep`, if given) stay, but those named like a new one are replaced; an empty table
+    gives no rows. Every text is counted once and scored once; the scored rows are stored, and the trusted ones' mean is taken from there.
     """
-    trusted = trusted_ids(labels)
-    trusted = docs.sparkSession.createDataFrame(trusted.collect(), "doc_id long")  # at most TARGET_ROWS ids
+    trusted = stored(trusted_ids(labels), "trusted")
     ratios = log_ratios(docs, trusted)
-    ids = trusted.select(F.col("doc_id").alias("_id"))
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    # not a filter: that would go below the join, and take every document apart
-    seen = own.select(word_hashes(F.col("text")).alias("g")).select(F.when(F.size("g") >= 50, likelihood_score(F.col("g"), ratios)).alias("s"))
-    mean, sd = seen.agg(F.avg("s"), F.stddev_pop("s")).first()
-    least = mean - max(deviations * sd, LEAST_GAP) if mean is not None else -math.inf
     # the row goes along as a struct, so that no name of its columns can clash
-    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text", word_hashes(F.col("text")).alias("g"))
-    out = boxed.select("row", *(c.alias(n) for n, c in (base_rules(F.col("text"), F.col("g")) | {"llr_score": likelihood_score(F.col("g"), ratios)}).items()))
+    row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
+    boxed = docs.select(row, F.col("doc_id").alias("id"), "text", word_hashes(F.col("text")).alias("g"))
+    out = boxed.select("row", "id", *(c.alias(n) for n, c in (base_rules(F.col("text"), F.col("g")) | {"llr_score": likelihood_score(F.col("g"), ratios)}).items()))
+    out = stored(out, "scored")
+    own = out.filter("n_words >= 50").select("id", "llr_score").join(trusted.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi")
+    mean, sd = own.agg(F.avg("llr_score"), F.stddev_pop("llr_score")).first()
+    drop_stored(trusted)
+    least = mean - max(deviations * sd, LEAST_GAP) if mean is not None else -math.inf
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= F.lit(least)))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr_score", "kept"]
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new), *new)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in (docs.columns if keep is None else keep) if c not in new), *new)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
 
 

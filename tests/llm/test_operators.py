@@ -240,6 +240,19 @@ def test_quality_rules_without_labels(empty, odd, spark):
     assert quality_rules.quality_rules(odd, none).filter("kept = base_failed").count() == 0
 
 
+def test_quality_rules_count_every_trusted_document(spark):
+    """No bound on trusted rows: ids whose hashes are the largest of 60,000 count, too."""
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    last = [r[0] for r in labels.orderBy(F.xxhash64("doc_id").desc(), F.col("doc_id").desc()).limit(40).collect()]
+    assert quality_rules.trusted_ids(labels).count() == 60_000
+    good = [(i, " ".join(f"good{(i * 7 + k) % 60}" for k in range(60))) for i in last]
+    docs = spark.createDataFrame(good + [(100_000, "other words " * 40)], "doc_id long, text string")
+    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels))
+    assert max(ratios) > 0.0 and min(ratios) < 0.0  # without trusted rows all are 0
+    assert all(r.kept for r in quality_rules.quality_rules(docs, labels).filter("doc_id < 100000").collect())
+    assert quality_rules.quality_rules(docs, labels, keep=["doc_id"]).columns[0] == "doc_id"
+
+
 # 4 ------------------------------------------------------------------------------------------------------------
 def test_capacity_is_minimal():
     rng = np.random.default_rng(1)
