@@ -69,3 +69,54 @@ def test_evaluation_equals_local_fits(spark):
             assert r.boundary == pytest.approx(iso.boundary((u, fit), lo, hi), abs=1e-3)
     assert abs(got["universal", "ALL"].boundary) < 0.4 and got["universal", "ALL"].auc > 0.7 and got["universal", "ALL"].skill > 0
     assert iso.evaluate_isotonic(panel.filter(F.col("horizon") == 9), folds, (9,)).count() == 0
+
+
+def test_boundary_at_a_mean_of_the_level_does_not_hang_on_rounding():
+    below = np.nextafter(0.5, 0.0)
+    corners = lambda p: (np.array([0.0, 0.4, 0.5, 1.0]), np.array([0.1, 0.1, p, p]))
+    assert iso.boundary(corners(below), 0.0, 1.0) == pytest.approx(iso.boundary(corners(0.5), 0.0, 1.0)) == pytest.approx(0.5, abs=1e-3)
+
+
+def test_pooling_runs_at_once_equals_pooling_one_by_one():
+    rng = np.random.default_rng(7)
+    for y in (rng.random(500), np.arange(500.0), -np.arange(500.0), np.repeat([0.0, 1.0, 0.5], 200)):
+        x, w = np.arange(float(len(y))), rng.uniform(0.5, 2, len(y))
+        assert np.allclose(iso.pooled(iso.falling_pooled(x, w, w * y)), iso.pooled(zip(x, x, w, w * y, strict=True)))
+
+
+def test_training_rows_are_not_stored_beside_each_fit_and_repeated_values_fit(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    start, rows = datetime.date(2020, 1, 6), []
+    for d in range(120):
+        for c in ("a", "b", None):
+            for h in (2, 5):
+                for p in rng.integers(-2, 3, 4):  # most rows lie at a fit's ends
+                    rows.append(("raw", start + datetime.timedelta(days=d), h, c, float(p), float(rng.random() < 0.5 + 0.1 * p), float(p)))
+    panel = spark.createDataFrame(rows, "return_mode string, date date, horizon int, asset_class string, psi_primary double, phase_label double, phase_product double").repartition(3)
+    folds = spark.createDataFrame([("raw", 1, start + datetime.timedelta(days=70), start + datetime.timedelta(days=119))], "return_mode string, fold int, test_start date, test_end date")
+    sizes, store = {}, iso.stored
+
+    def seen(df, what):
+        out = store(df, what)
+        sizes[what] = out.count()
+        return out
+
+    monkeypatch.setattr(iso, "stored", seen)
+    got = {(r.model, r.unit): r for r in iso.evaluate_isotonic(panel, folds, (2, 5)).collect()}
+    assert set(got) == {("universal", "ALL"), ("horizon", "2"), ("horizon", "5"), ("class_left_out", "a"), ("class_left_out", "b")}
+    pdf = panel.toPandas()
+    day = lambda n: start + datetime.timedelta(days=n)
+    test = pdf[pdf.date >= day(70)]
+    assert max(sizes.values()) <= 3 * len(test)  # universal, its horizon, its class
+    for key, train, own in (
+        (("universal", "ALL"), pdf[pdf.date < day(63)], test),
+        (("class_left_out", "b"), pdf[(pdf.date < day(63)) & (pdf.asset_class != "b")], test[test.asset_class == "b"]),
+        (("horizon", "2"), pdf[(pdf.date < day(66)) & (pdf.horizon == 2)], test[test.horizon == 2]),
+    ):
+        weight = lambda g: (1 / g.groupby("date")["date"].transform("size")).to_numpy()
+        lo, hi = np.quantile(train.psi_primary, [0.005, 0.995])
+        u, fit = brute(np.clip(train.psi_primary.to_numpy(), lo, hi), train.phase_label.to_numpy(), weight(train))
+        p, w, r = np.interp(np.clip(own.psi_primary, lo, hi), u, fit), weight(own), got[key]
+        assert (r.n_train, r.n) == (len(train), len(own))
+        assert r.brier == pytest.approx(np.average((p - own.phase_label) ** 2, weights=w), rel=1e-9)
+        assert r.boundary == pytest.approx(iso.boundary((u, fit), lo, hi), abs=1e-9)
